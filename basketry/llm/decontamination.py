@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, table, text_bytes
 
-SIMILARITY, WALKS, SAMPLES, STEPS_SAMPLED, CLASS, BLOCK_ITEMS, RECALL = 0.8, 6, 8, 2, 8, 20_000, 0.95
+SIMILARITY, WALKS, SAMPLES, STEPS_SAMPLED, CLASS, BLOCK_ITEMS, RECALL = 0.8, 4, 6, 2, 8, 20_000, 0.95
+WORDS_AT_ONCE = 1 << 20
 #: Words have no case and no ASCII punctuation.
 FOLD = bytes(32 if (33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -49,12 +50,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def embed(ids: np.ndarray, starts: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """CGK embeddings (steps x windows) of the windows of `ids` (word ids, padded at the end) that begin at `starts`."""
+def embed(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, walk: int) -> np.ndarray:
+    """CGK embeddings (steps x windows) of the windows of `ids` that begin at `starts`; at and after `ends` they read what stands there, -1."""
     out = np.empty((steps, len(starts)), np.int64)
-    at, last = starts.copy(), len(ids) - 1
+    at = starts.copy()
     for t in range(steps):
-        out[t] = ids[np.minimum(at, last)]
+        out[t] = ids[np.minimum(at, ends)]
         key = out[t].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((walk * 1_000_003 + t + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         at += (_mix(key) >> np.uint64(63)).astype(np.int64)
     return out
@@ -113,7 +114,7 @@ class Index:
                 picks = [np.sort(rng.choice(steps, min(STEPS_SAMPLED, steps), replace=False)) for _ in range(SAMPLES)]
                 keys = [[] for _ in picks]
                 for k in mine:
-                    e = embed(np.append(self.ids[k], [-1] * (steps + 1)), np.array([0]), steps, walk)
+                    e = embed(np.append(self.ids[k], -1), np.array([0]), len(self.ids[k]), steps, walk)
                     for out, pick in zip(keys, picks, strict=True):
                         out.append(self.key(e, pick)[0])
                 for pick, out in zip(picks, keys, strict=True):
@@ -155,16 +156,16 @@ class Index:
             use |= hits >= self.need[q]
         return np.flatnonzero(use)
 
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """(start, index of an item) of the windows that meet an item in a table."""
+    def candidates(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(start, index of an item) of the windows that meet an item in a table. ids: texts with a -1 after each, at `ends`."""
         starts = self.windows(ids)
+        longest = max(s for s, _ in self.classes.values())
         found = []
-        for a in range(0, len(starts), 1 << 15):  # bounds the memory for long texts
-            some = starts[a : a + (1 << 15)]
-            longest = max(s for s, _ in self.classes.values())
-            padded = np.append(ids, [-1] * (longest + 1))
+        for a in range(0, len(starts), 1 << 16):  # bounds the memory
+            some = starts[a : a + (1 << 16)]
+            own_end = ends[np.searchsorted(ends, some)]
             for walk in range(WALKS):
-                embedded = embed(padded, some, longest, walk)
+                embedded = embed(ids, some, own_end, longest, walk)
                 for _, tables in self.classes.values():
                     for _, pick, keys, items in (t for t in tables if t[0] == walk):
                         own = self.key(embedded, pick)
@@ -177,13 +178,16 @@ class Index:
                             found.append(np.stack([np.repeat(some[met], n), items[np.repeat(lo[met], n) + offset]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
-    def matches(self, ids: np.ndarray):
-        """(item_id, first word, words, edits, similarity) of each item that the text has, at its best stretch."""
-        by_item: dict[int, list[int]] = {}
-        for start, k in self.candidates(ids).tolist():
-            by_item.setdefault(k, []).append(start)
-        for k, starts in by_item.items():
-            item = self.ids[k].tolist()
+    def matches(self, texts: list[np.ndarray]):
+        """(index of a text, item_id, first word, words, edits, similarity) of each item that a text has, at its best stretch."""
+        ids = np.concatenate([x for t in texts for x in (t, [-1])]) if texts else np.empty(0, np.int64)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        found: dict[tuple[int, int], list[int]] = {}
+        for start, k in self.candidates(ids, ends).tolist() if len(ids) else ():
+            d = int(np.searchsorted(ends, start))
+            found.setdefault((d, k), []).append(start - (int(ends[d - 1]) + 1 if d else 0))
+        for (d, k), starts in found.items():
+            item, text = self.ids[k].tolist(), texts[d]
             n, bound = len(item), allowed_edits(len(item), self.similarity)
             best, a = None, 0
             while a < len(starts):  # starts near each other share a stretch
@@ -191,14 +195,14 @@ class Index:
                 while b + 1 < len(starts) and starts[b + 1] - starts[b] <= n:
                     b += 1
                 lo, hi = max(0, starts[a] - 2 * bound - 1), starts[b] + n + 2 * bound + 1
-                stretch = ids[lo:hi].tolist()
+                stretch = text[lo:hi].tolist()
                 edits, end = best_stretch(item, stretch)
                 if edits <= bound and (best is None or edits < best[2]):
-                    back, length = best_stretch(item[::-1], stretch[:end][::-1])
+                    _, length = best_stretch(item[::-1], stretch[:end][::-1])
                     best = (lo + end - length, length, edits)
                 a = b + 1
             if best is not None:
-                yield self.items[k][0], *best, 1 - best[2] / n
+                yield d, self.items[k][0], *best, 1 - best[2] / n
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -221,14 +225,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         def run(batches, index=index):
             made = Index(index.value, similarity)
             known = type("Known", (dict,), {"__missing__": lambda self, w: -1})(made.vocabulary).__getitem__
+
+            def rows(held):
+                found = [(held[m[0]][0], *m[1:]) for m in made.matches([x for _, x in held])] if made.ids else []
+                if found:
+                    yield dict(zip(names, map(list, zip(*found, strict=True)), strict=True))
+
             for batch in batches:
-                out = []
+                held, words = [], 0
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    if made.ids:
-                        ids = np.fromiter(map(known, fold(text)), np.int64)
-                        out += [(doc_id, *m) for m in made.matches(ids)]
-                if out:
-                    yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
+                    held.append((doc_id, np.fromiter(map(known, fold(text)), np.int64)))
+                    words += len(held[-1][1])
+                    if words >= WORDS_AT_ONCE:
+                        yield from rows(held)
+                        held, words = [], 0
+                yield from rows(held)
 
         part = map_columns(text_bytes(docs), run, schema)
         found = part if found is None else found.union(part)

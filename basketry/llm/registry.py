@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_decontamination
+from .packing import op4_best_fit_packing
+from .quality_classifier import op5_quality_classifier
+from .quality_rules import op9_quality_rules
+from .sharding import op2_sharding
+from .simhash import op6_simhash_dedup
 from .token_ids import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_sharding": op2_sharding,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
