@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op7_decontamination
 from .packing import op4_best_fit_packing
+from .pii import op10_pii_surrogates
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op9_quality_rules
 from .sharding import op2_sharding
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_decontamination": op7_decontamination,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
