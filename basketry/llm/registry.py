@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op7_decontamination
+from .language_model import op8_lm_scoring
 from .packing import op4_best_fit_packing
 from .pii import op10_pii_surrogates
 from .quality_classifier import op5_quality_classifier
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
 }
