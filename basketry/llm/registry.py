@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op7_decontamination
 from .language_model import op8_lm_scoring
+from .licenses import op3_license_scan
 from .packing import op4_best_fit_packing
 from .pii import op10_pii_surrogates
 from .quality_classifier import op5_quality_classifier
@@ -15,6 +16,7 @@ from .token_ids import op1_token_ids
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_sharding": op2_sharding,
+    "op3_license_scan": op3_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_dedup": op6_simhash_dedup,
