@@ -2,5 +2,22 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..schema import Tables
+from . import binding
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, fn: Callable[[Tables], DataFrame], sql: str | None = None, **views: str) -> None:
+    """A query of the bound tables; sql is written over the views of `binding` and those given here."""
+    QUERIES[name] = lambda spark, sf_dir: fn(binding.tables(spark, sf_dir))
+    if sql is not None:
+        ORACLE_SQL[name] = binding.sql(sql, **views)
+
+
+from . import queries_data, queries_spine  # noqa: E402, F401
