@@ -27,7 +27,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         F.when(F.col("n_regionkey") == 0, "A").when(F.col("n_regionkey") == 3, "C").otherwise("B").alias("campaign_type"),
         start.alias("start_day"), (start + F.when(F.col("n_regionkey") == 3, 90).otherwise(32 + 7 * F.col("n_regionkey"))).cast("long").alias("end_day"),
     )
-    few = F.broadcast(campaigns)  # one row a nation, of which there are a fixed number
+    few = small(campaigns)
     part, campaign = read("part"), F.col("campaign")
     coupons = part.join(few, (F.col("p_partkey") * 7 + campaign * 3) % 5 == 0).select(
         "campaign", F.col("p_partkey").alias("product_id"), F.concat(F.lit("U"), campaign.cast("string"), F.lit("_"), (F.col("p_partkey") % 5).cast("string")).alias("coupon_upc")
@@ -52,6 +52,13 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(transactions, campaigns, coupons, mailings, redemptions, causal, products, demographics)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df to broadcast, after its rows are counted; operators broadcast the campaign table on the strength of this check."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a campaign table of over {most} rows is not broadcast")
+    return F.broadcast(df)
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("household_key"))
 

@@ -20,4 +20,4 @@ def register(name: str, fn: Callable[[Tables], DataFrame], sql: str | None = Non
         ORACLE_SQL[name] = binding.sql(sql, **views)
 
 
-from . import queries_data, queries_spine  # noqa: E402, F401
+from . import queries_data, queries_features, queries_spine  # noqa: E402, F401
