@@ -1,6 +1,7 @@
 """Licence scans by a trained paragraph classifier.
 
-Units are the lines of a text and, where a paragraph has several, the paragraph.
+Units are the lines of a text and, for notices that are wrapped over several lines,
+the lines with AROUND lines and at most REACH words before and after them.
 A multinomial logistic regression over sparse word n-grams (1 to 3 words), made
 sparse by an elastic net, names the licence family or `unknown`. It is trained
 here, on notices (TEMPLATES), their variants with words left out, and negatives:
@@ -13,7 +14,7 @@ unit is `unknown`.
 Only units that can be confirmed or read like a notice need the classifier: a unit with
 CONFIRMED of a template's triples has one of the ANCHOR words, which are chosen
 so that too few triples of any template are without one. The test for them is a plain
-substring search over all texts.
+substring search over all texts, and then one for whole words in the lines that it finds.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .common import table, written
 
-NEGATIVES, VARIANTS, CERTAIN, CONFIRMED, LONGEST = 2000, 12, 0.5, 0.6, 2000
+NEGATIVES, VARIANTS, CERTAIN, CONFIRMED, AROUND, REACH = 2000, 12, 0.5, 0.6, 3, 40
 UNKNOWN = "unknown"
 # Notices by family.
 TEMPLATES = {
@@ -132,13 +133,14 @@ def train(docs: DataFrame) -> Model:
     shuffled = F.transform(F.array_sort(F.transform("words", lambda w, i: F.struct(dice(i, F.lit("order")).alias("o"), i.alias("i"), w.alias("w")))), lambda x: x["w"])
     unknown = float(families.index(UNKNOWN))
     mixed = variants.where("v < 3").select(F.lit(unknown).alias("label"), F.slice(shuffled, 1, F.greatest(F.lit(2), F.size("words") - 1)).alias("words"), (F.col("v") == 2).alias("held"))
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(NEGATIVES // 8)
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(NEGATIVES // 8)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # NEGATIVES // 8 ids
     lines = some.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~has_anchor(F.col("line")))
     lines = lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).select(F.lit(unknown).alias("label"), F.slice(words_of(F.col("line")), 1, 60).alias("words"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 3).alias("held"))
     every = positives.union(mixed).union(lines).select("label", "held", n_grams(F.col("words")).alias("grams")).coalesce(2).cache()
     fit_on = every.where("not held")
-    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 14).fit(fit_on)
-    regression = LogisticRegression(family="multinomial", maxIter=60, regParam=0.002, elasticNetParam=0.3).fit(vocabulary.transform(fit_on))
+    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=1 << 14).fit(fit_on)
+    regression = LogisticRegression(family="multinomial", maxIter=40, regParam=0.002, elasticNetParam=0.3).fit(vocabulary.transform(fit_on))
     raw = regression.transform(vocabulary.transform(every.where("held"))).select("label", vector_to_array("rawPrediction").alias("r"))
     grid = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 
@@ -154,24 +156,27 @@ def train(docs: DataFrame) -> Model:
 
 
 def scan_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Each unit that the classifier gives a licence family: doc_id, paragraph, line (-1: the whole paragraph), family, predicted, probability, similarity, confirmed and unit.
+    """Each unit that the classifier gives a licence family: doc_id, line, wrapped, family, predicted, probability, similarity, confirmed and unit.
 
-    family is `unknown` where the prediction is not certain or not confirmed.
+    family is `unknown` where the prediction is not certain or not confirmed. A
+    wrapped unit is returned where its line alone is not confirmed.
     Null and empty texts have no units. Rows with a null or repeated doc_id, and
     repeated rows, are each scanned. A unit that repeats in a text is returned at
-    each place. Other columns are ignored. An empty table gives no rows. A paragraph of
-    over LONGEST words is looked at line by line only.
+    each place. Other columns are ignored. An empty table gives no rows.
     """
     model = model or train(docs)
     spark = docs.sparkSession
-    hit = docs.select("doc_id", "text").where(has_anchor(F.col("text")))
-    paragraphs = hit.select("doc_id", F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("paragraph", "body")).where(has_anchor(F.col("body")))
-    paragraphs = paragraphs.withColumn("body_hash", F.xxhash64("body"))
-    lines = paragraphs.select("doc_id", "paragraph", "body_hash", F.posexplode(F.split("body", "\n")).alias("line", "unit"))
-    whole = paragraphs.where(F.col("body").contains("\n")).select("doc_id", "paragraph", "body_hash", F.lit(-1).alias("line"), F.col("body").alias("unit"))
-    whole = whole.where(F.size(words_of(F.col("unit"))) <= LONGEST)
-    units = lines.union(whole).where(has_anchor(F.col("unit"))).withColumn("words", words_of(F.col("unit"))).where(F.size("words") > 0)
-    units = written(units, "units").withColumn("grams", n_grams(F.col("words")))
+    hit = docs.select("doc_id", "text").where(has_anchor(F.col("text"))).select("doc_id", F.split("text", "\n").alias("lines"))
+    marked = F.filter(F.transform("lines", lambda x, i: F.when(has_anchor(x), i)), lambda i: i.isNotNull())
+    some = lambda first, n: F.array_join(F.slice("lines", first, n), " ")
+    place = lambda i: F.struct(i.alias("line"), F.col("lines")[i].alias("unit"), some(F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND))).alias("before"), some(i + 2, AROUND).alias("after"))
+    found = hit.select("doc_id", F.explode(F.transform(marked, place)).alias("x")).select("doc_id", "x.*").withColumn("words", words_of(F.col("unit")))
+    found = written(found.where(F.arrays_overlap("words", F.array(*map(F.lit, anchors())))).withColumn("at", F.monotonically_increasing_id()), "units")
+    ahead, behind = words_of(F.col("before")), words_of(F.col("after"))
+    wide = F.concat(F.slice(ahead, F.greatest(F.size(ahead) - REACH, F.lit(0)) + 1, F.lit(REACH)), F.col("words"), F.slice(behind, 1, REACH))
+    single = found.select("at", "doc_id", "line", F.lit(False).alias("wrapped"), "unit", "words")
+    several = found.where((F.col("before") != "") | (F.col("after") != "")).select("at", "doc_id", "line", F.lit(True).alias("wrapped"), F.concat_ws("\n", "before", "unit", "after").alias("unit"), wide.alias("words"))
+    units = single.union(several).withColumn("grams", n_grams(F.col("words")))
     predicted = model.predict(units)
     by_family = spark.createDataFrame([(f, [_triples(_words(t)) for t in texts]) for f, texts in TEMPLATES.items()], "family string, templates array<array<string>>")
     joined = predicted.join(F.broadcast(by_family), "family", "left")
@@ -182,10 +187,9 @@ def scan_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
     judged = joined.withColumn("similarity", similarity)
     confirmed = (F.col("probability") >= CERTAIN) & (F.col("similarity") >= CONFIRMED) & (F.col("family") != UNKNOWN)
     judged = judged.withColumn("confirmed", confirmed)
-    # a paragraph speaks where none of its lines does
-    in_lines = F.max(F.when(F.col("line") >= 0, F.col("confirmed")).otherwise(False)).over(Window.partitionBy("doc_id", "body_hash", "paragraph"))
-    judged = judged.withColumn("_in_lines", in_lines).where((F.col("line") >= 0) | ~F.col("_in_lines")).where(F.col("family") != UNKNOWN)
-    return judged.select("doc_id", "paragraph", "line", F.when(F.col("confirmed"), F.col("family")).otherwise(UNKNOWN).alias("family"), F.col("family").alias("predicted"), "probability", "similarity", "confirmed", "unit")
+    alone = F.max(~F.col("wrapped") & F.col("confirmed")).over(Window.partitionBy("at"))
+    judged = judged.withColumn("_alone", alone).where(~F.col("wrapped") | ~F.col("_alone")).where(F.col("family") != UNKNOWN)
+    return judged.select("doc_id", "line", "wrapped", F.when(F.col("confirmed"), F.col("family")).otherwise(UNKNOWN).alias("family"), F.col("family").alias("predicted"), "probability", "similarity", "confirmed", "unit")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
