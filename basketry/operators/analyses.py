@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,10 +138,9 @@ def same_habit_auc(df: DataFrame, score: str, label: str, habit: str) -> DataFra
 
 
 def signal_screen(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(column, auc) of each column alone, folded to 0.5 and above."""
-    stacked = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in columns)
-    x = df.selectExpr(f"{label} AS y", f"stack({len(columns)}, {stacked}) AS (`column`, x)").where("x is not null")
-    return metrics.auc(x, "x", "y", ["column"]).select("column", F.greatest("auc", 1 - F.col("auc")).alias("auc"))
+    """(column, auc) of each column alone, folded to 0.5 and above; each column is ranked over all rows by ranges of its values."""
+    one = lambda c: metrics.auc(df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"), label), "x", label).select(F.lit(c).alias("column"), F.greatest("auc", 1 - F.col("auc")).alias("auc"))
+    return reduce(DataFrame.unionByName, map(one, columns))
 
 
 def depth_table(df: DataFrame, scores: list[str], label: str, shares=(0.1, 0.2, 0.3, 0.5)) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+RANGES = 128
 SHARES = tuple(round(0.05 * i, 2) for i in range(1, 11))
 
 
@@ -20,11 +21,11 @@ def _groups(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
 
 
 def ranked(g: DataFrame, by: list[str]) -> DataFrame:
-    if not by:  # all scores together: distinct scores are cut into ranges first, whose sums are carried over
-        g = g.withColumn("_range", F.floor(F.col("s") * 256).cast("long"))
+    if not by:  # all scores together: they are cut into RANGES of about equal size first, whose sums are carried over
+        cuts = g.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
+        g = g.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda e: e < F.col("s")))).drop("_cuts")
         sums = g.groupBy("_range").agg(F.sum("n").alias("rn"), F.sum("pos").alias("rp"))
         later = sums.selectExpr("_range AS _other", "rn AS on", "rp AS op")
-        # at most 257 ranges for scores from 0 to 1
         carried = sums.join(F.broadcast(later), F.col("_other") > F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("on"), F.lit(0)).alias("cn"), F.coalesce(F.sum("op"), F.lit(0)).alias("cp"))
         total = sums.agg(F.sum("rn").alias("n_all"), F.sum("rp").alias("pos_all"))
         above = Window.partitionBy("_range").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
