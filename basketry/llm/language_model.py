@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, map_columns, ship, shuffle_partitions, table, written
 
-BLOCK_WORDS, DEV, COUNTED, DELETED, SCORED = 2_000_000, 10, 0, 1, 2
+BLOCK_WORDS, DEV, COUNTED, DELETED, SCORED = 1_000_000, 10, 0, 1, 2
 #: Steps of the base-2 logarithm in which EM sees probabilities; frequency buckets.
 STEP, FREQUENCIES, LOWEST = 4, 33, -60
 BLOCKS = "block long, part int, doc_ids binary, lengths binary, types binary, tokens binary"
