@@ -8,12 +8,16 @@ distance has become Hamming distance. Sampling a few steps of an embedding and
 comparing what is written there is locality-sensitive hashing for it; WALKS
 independent walks with SAMPLES samplings each are the tables, enough that a
 passage at the similarity bound meets its item in one of them with a probability
-of about RECALL (more for closer ones).
+of RECALL at least (tests/llm/test_short_items.py measures it).
 
-Windows begin at every word. Before they are embedded, the q-gram lemma leaves
+Items of fewer than SHORT words have too few steps for that and are looked up
+exactly: cut into one piece more than the edits allowed, an item leaves at least one
+piece whole in every match, so all places of all pieces are looked at.
+
+Windows of the other items begin at every word. Before they are embedded, the q-gram lemma leaves
 out those which cannot match: a passage within k edits of an item of n words has
 at least n - 2 - 3k of its word triples (one at least where that is less, by the
-pigeonhole rule, for items of 10 words or more; shorter items take shorter runs).
+pigeonhole rule).
 
 Each (document, item) that meets in a table is verified by the exact edit distance of
 the item to the best stretch of the document there. The result has no false match.
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, table, text_bytes
 
-SIMILARITY, WALKS, SAMPLES, STEPS_SAMPLED, CLASS, BLOCK_ITEMS, RECALL = 0.8, 4, 6, 2, 8, 20_000, 0.95
+SIMILARITY, WALKS, SAMPLES, STEPS_SAMPLED, CLASS, BLOCK_ITEMS, RECALL, SHORT = 0.8, 4, 6, 2, 8, 20_000, 0.95, 16
 WORDS_AT_ONCE = 1 << 20
 #: Words have no case and no ASCII punctuation.
 FOLD = bytes(32 if (33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126) else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -95,9 +99,12 @@ class Index:
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.items]
         self.longest = max(map(len, self.ids), default=0)
+        self.pieces = self.cut([k for k, x in enumerate(self.ids) if len(x) < SHORT])
         runs: dict[int, list] = {}
         self.need: dict[int, int] = {}
         for x in self.ids:
+            if len(x) < SHORT:
+                continue
             n, k = len(x), allowed_edits(len(x), similarity)
             q = min(3, -(-(n - k) // (k + 1)))
             need = max(1, n - q + 1 - q * k)
@@ -106,8 +113,8 @@ class Index:
         self.runs = {q: np.unique(np.concatenate(r)) for q, r in runs.items()}
         rng = np.random.default_rng(seed)
         self.classes: dict[int, list] = {}
-        for c in sorted({len(x) // CLASS for x in self.ids}):
-            mine = [k for k, x in enumerate(self.ids) if len(x) // CLASS == c]
+        for c in sorted({len(x) // CLASS for x in self.ids if len(x) >= SHORT}):
+            mine = [k for k, x in enumerate(self.ids) if len(x) >= SHORT and len(x) // CLASS == c]
             steps = max(1, int(1.5 * max(c * CLASS, 1)))
             tables = []
             for walk in range(WALKS):
@@ -122,6 +129,17 @@ class Index:
                     tables.append((walk, pick, np.array(out)[order], np.array(mine)[order]))
             self.classes[c] = [steps, tables]
 
+    def cut(self, short: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By the length of a piece: codes of the pieces of these items in order, indices of the items, places of the pieces in them."""
+        held: dict[int, list] = {}
+        for k in short:
+            n, parts = len(self.ids[k]), allowed_edits(len(self.ids[k]), self.similarity) + 1
+            bounds = [i * n // parts for i in range(parts + 1)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if a < b:
+                    held.setdefault(b - a, []).append((int(self.codes(self.ids[k][a:b], b - a)[0]), k, a))
+        return {q: tuple(np.array(column, np.int64) for column in zip(*sorted(rows), strict=True)) for q, rows in held.items()}
+
     def codes(self, ids: np.ndarray, q: int) -> np.ndarray:
         """A number for each run of q known words, -1 where a word is unknown."""
         n = len(ids) - q + 1
@@ -156,11 +174,26 @@ class Index:
             use |= hits >= self.need[q]
         return np.flatnonzero(use)
 
+    def short_candidates(self, ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """(start, index of an item) of each place of a piece of a short item."""
+        found = []
+        for q, (keys, items, offsets) in self.pieces.items():
+            own = self.codes(ids, q)
+            lo = np.searchsorted(keys, own)
+            met = np.flatnonzero((own >= 0) & (keys[np.minimum(lo, len(keys) - 1)] == own))
+            if len(met):
+                n = np.searchsorted(keys, own[met], side="right") - lo[met]
+                at = np.repeat(lo[met], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                text = np.searchsorted(ends, met)
+                first = np.where(text > 0, ends[np.maximum(text - 1, 0)] + 1, 0)
+                found.append(np.stack([np.maximum(np.repeat(met, n) - offsets[at], np.repeat(first, n)), items[at]], axis=1))
+        return found
+
     def candidates(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(start, index of an item) of the windows that meet an item in a table. ids: texts with a -1 after each, at `ends`."""
+        """(start, index of an item) of the places of short items' pieces, and of the windows that meet another item in a table. ids: texts with a -1 after each, at `ends`."""
         starts = self.windows(ids)
-        longest = max(s for s, _ in self.classes.values())
-        found = []
+        longest = max((s for s, _ in self.classes.values()), default=0)
+        found = self.short_candidates(ids, ends)
         for a in range(0, len(starts), 1 << 16):  # bounds the memory
             some = starts[a : a + (1 << 16)]
             own_end = ends[np.searchsorted(ends, some)]
