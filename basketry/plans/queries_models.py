@@ -172,9 +172,9 @@ register("sure_things", lambda t: (lambda a, b: judged(mo.forest(a.where("mailed
 def _forward(t):
     x = rows_of(t, 1)
     folds = {}
-    for r in splits.forward_folds(t.campaigns, 2000, 7).select("test_campaign", "train_campaign").collect():  # campaign pairs only
+    for r in splits.forward_folds(t.campaigns, 1000, 7).select("test_campaign", "train_campaign").collect():  # campaign pairs only
         folds.setdefault(r[0], []).append(r[1])
-    return mo.forward_predict(x, sorted(folds.items())[-2:], {"logistic": lambda d: mo.logistic(d, FEW, "label"), "forest": lambda d: mo.forest(d, FEW, "label")}, "label")
+    return mo.forward_predict(x, sorted(folds.items()), {"logistic": lambda d: mo.logistic(d, FEW, "label"), "forest": lambda d: mo.forest(d, FEW, "label")}, "label")
 
 
 register("forward_predict", lambda t: _forward(t).groupBy("candidate_id", "campaign").agg(F.count(F.lit(1)).alias("n")))
