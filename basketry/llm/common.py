@@ -61,8 +61,8 @@ def ship(spark: SparkSession) -> None:
     sc._basketry_shipped = True
 
 
-def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow with columns as Python lists: fn gets an iterator of {column: list} and yields dicts of lists or arrays."""
+def map_batches(df: DataFrame, fn: Callable[[Iterator], Iterator[dict]], schema: str) -> DataFrame:
+    """mapInArrow for functions that get an iterator of record batches and yield dicts of lists or arrays."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -70,12 +70,17 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(b.to_pydict() for b in batches):
+        for out in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """map_batches with columns as Python lists: fn gets an iterator of {column: list}."""
+    return map_batches(df, lambda batches: fn(b.to_pydict() for b in batches), schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

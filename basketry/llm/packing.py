@@ -1,6 +1,6 @@
 """Best-fit packing of documents into training sequences, in bounded space.
 
-Pieces arrive one after the other. A fixed number of sequences is open at any
+Pieces arrive one after the other, those of an Arrow batch longest first. A fixed number of sequences is open at any
 time; a bitset has bit f set if some open sequence has f tokens free, so the
 best fit is its lowest set bit at or above the piece's length. When one more
 sequence must open than may be, the fullest open one closes, as it is the least
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, table
+from .common import map_batches, map_columns, table
 from .pieces import encoder, tokenizer_path
 
 SEQUENCE, OPEN = 2048, 4096
@@ -72,18 +72,18 @@ def pack_documents(docs: DataFrame, sequence: int = SEQUENCE, most_open: int = O
     from pyspark import TaskContext
 
     tokenizer = tokenizer or tokenizer_path()
-    end = int(end_id).to_bytes(4, "little")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
 
     def pieces(batches):
-        encode, bins, base = encoder(tokenizer), OpenSequences(sequence, most_open), TaskContext.get().partitionId() << 40
+        encode, bins, base = encoder(tokenizer, end_id), OpenSequences(sequence, most_open), TaskContext.get().partitionId() << 40
         for batch in batches:
-            found = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                data = encode(text) + end
-                n = len(data) // 4
-                cuts = [0, *range(n % sequence or sequence, n, sequence), n] if n > sequence else [0, n]
-                found += [(doc_id, i, a, b - a, data[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            names, found = batch.column("doc_id").to_pylist(), []
+            for at, flat, bounds in encode(batch.column("text")):
+                data, bounds = flat.tobytes(), bounds.tolist()
+                for doc_id, lo, hi in zip(names[at:], bounds[:-1], bounds[1:], strict=False):
+                    n = hi - lo
+                    cuts = [0, *range(n % sequence or sequence, n, sequence), n] if n > sequence else [0, n]
+                    found += [(doc_id, i, a, b - a, data[4 * (lo + a) : 4 * (lo + b)]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             found.sort(key=lambda x: -x[3])
             placed = [bins.place(x[3]) for x in found]
             if found:
@@ -91,7 +91,7 @@ def pack_documents(docs: DataFrame, sequence: int = SEQUENCE, most_open: int = O
                 out |= {"ids_crc32": [zlib.crc32(x[4]) for x in found], "sequence_id": [base + s for s, _ in placed], "offset": [o for _, o in placed]}
                 yield out | ({"ids": [x[4] for x in found]} if with_ids else {})
 
-    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")), pieces, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")), pieces, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -28,10 +28,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, scratch_path, shuffle_partitions, table
+from .common import map_batches, map_columns, scratch_path, shuffle_partitions, table
 from .pieces import encoder, tokenizer_path
 
-BLOCK, PAD = 4096, 120
+BLOCK, PAD = 1024, 120
 #: Fixed values of the coding: selector -> ids a word and bits an id.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -145,41 +145,38 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, en
     from pyspark import TaskContext
 
     tokenizer = tokenizer or tokenizer_path()
-    end = int(end_id).to_bytes(4, "little")
-    thin = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = partitions or shuffle_partitions(docs.sparkSession)
     ordered = thin.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def chunks(batches):
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
-        state = {"chunk": 0, "first": 0}
+        encode, part = encoder(tokenizer, end_id), TaskContext.get().partitionId()
+        chunk = first = held = 0
+        ids, lengths, known, null = [], [], [], []
 
-        def flush(ids, data):
-            flat = np.frombuffer(b"".join(data), "<u4")
+        def flush():
+            flat = np.concatenate(ids)
             words, offsets = simple8b_encode(flat.astype(np.uint64))
-            lengths = np.array([len(x) // 4 for x in data], "<i8")
-            null = np.array([x is None for x in ids])
-            known = np.array([0 if x is None else x for x in ids], "<i8")
-            row = {"part": [part], "chunk": [state["chunk"]], "first": [state["first"]], "n_tokens": [len(flat)],
-                   "doc_ids": [known.tobytes() + null.tobytes()], "lengths": [lengths.tobytes()],
-                   "offsets": [offsets.astype("<i8").tobytes()], "words": [words.astype("<u8").tobytes()]}
-            state["chunk"] += 1
-            state["first"] += len(flat)
-            return row
-
-        ids, data, held = [], [], 0
+            return {"part": [part], "chunk": [chunk], "first": [first], "n_tokens": [len(flat)], "doc_ids": [np.concatenate(known).astype("<i8").tobytes() + np.concatenate(null).tobytes()],
+                    "lengths": [np.concatenate(lengths).astype("<i8").tobytes()], "offsets": [offsets.astype("<i8").tobytes()], "words": [words.astype("<u8").tobytes()]}
+
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids.append(doc_id)
-                data.append(encode(text) + end)
-                held += len(data[-1]) // 4
+            names = batch.column("doc_id")
+            values, missing = names.fill_null(0).to_numpy(zero_copy_only=False), names.is_null().to_numpy(zero_copy_only=False)
+            for at, flat, bounds in encode(batch.column("text")):
+                ids.append(flat)
+                lengths.append(np.diff(bounds))
+                known.append(values[at : at + len(bounds) - 1])
+                null.append(missing[at : at + len(bounds) - 1])
+                held += len(flat)
                 if held >= CHUNK_TOKENS:
-                    yield flush(ids, data)
-                    ids, data, held = [], [], 0
+                    yield flush()
+                    chunk, first, held = chunk + 1, first + held, 0
+                    ids, lengths, known, null = [], [], [], []
         if ids:
-            yield flush(ids, data)
+            yield flush()
 
-    map_columns(ordered, chunks, FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    map_batches(ordered, chunks, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_token_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -1,6 +1,8 @@
+import functools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,12 +10,24 @@ from hypothesis import strategies as st
 from basketry.llm import packing, pieces, token_ids
 
 
-def plain(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(pieces.tokenizer_path())
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(pieces.tokenizer_path())
+
+
+def plain(text):
+    return library().encode(text, add_special_tokens=False).ids
+
+
+def ids_of(texts):
+    out = []
+    for _, ids, bounds in pieces.encoder(pieces.tokenizer_path())(pa.array(texts, pa.string())):
+        cut = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+        assert all(x[-1] == 0 for x in cut)
+        out += [x[:-1] for x in cut]
+    return out
 
 
 @settings(max_examples=60, deadline=None)
@@ -31,11 +45,25 @@ def test_simple8b_over_several_blocks():
     assert (token_ids.simple8b_decode(words, offsets, len(a)) == a).all()
 
 
-@pytest.mark.parametrize("text", ["it's  a\t\tb\n\n c", "½² ''s I'll\r\n", "a<|endoftext|>b", "", "   ", "日本語 x" * 3, "\x85 a\x1cb c"])
+@pytest.mark.parametrize("text", ["it's  a\t\tb\n\n c", "½² ''s I'll\r\n", "a<|endoftext|>b", "<|endoftext|><|endoftext|> x <|endoftext", "word?!) (word), it's.", "", "   ", "日本語 x" * 3, "\x85 a\x1cb c"])
 def test_memo_gives_the_ids_of_the_library(text):
-    got = np.frombuffer(pieces.encoder(pieces.tokenizer_path())(text), "<u4").tolist()
-    assert got == plain(text)
+    assert ids_of([text, "", text]) == [plain(text), [], plain(text)]
+
+
+def test_special_tokens_in_a_text_are_those_of_the_library():
+    assert ids_of(["a<|endoftext|>b"]) == [plain("a<|endoftext|>b")] == [[64, 50256, 65]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aZé 1½ß日'st.,!\n\t\x85\x1c\xa0\u3000\u2003😀²", "<|endoftext|>", "  ", "'s"]) | st.characters(codec="utf-8"), max_size=12).map("".join), max_size=6))
+def test_any_texts_have_the_ids_of_the_library(texts):
+    assert ids_of(texts) == [plain(t) for t in texts]
+
 
+def test_batches_end_between_texts(monkeypatch):
+    monkeypatch.setattr(pieces, "BATCH_BYTES", 10)
+    texts = ["one two three four", "", "a b", "", "cdefg hi", " "]
+    assert ids_of(texts) == [plain(t) for t in texts]
 
 def test_files_hold_the_ids_in_order(spark, docs, tmp_path):
     path = str(tmp_path / "ids")
