@@ -5,10 +5,11 @@ pointer: at step t it writes the word under the pointer, then moves on or stays
 as a random function of (t, word) says. Two sequences that are a few edits apart
 meet again after each edit, so their embeddings agree at most steps: edit
 distance has become Hamming distance. Sampling a few steps of an embedding and
-comparing what is written there is locality-sensitive hashing for it; WALKS
-independent walks with SAMPLES samplings each are the tables, enough that a
-passage at the similarity bound meets its item in one of them with a probability
-of RECALL at least (tests/llm/test_short_items.py measures it).
+comparing what is written there is locality-sensitive hashing for it; independent
+walks with SAMPLES samplings each are the tables. For each class of lengths, walks
+are added until random items with as many random edits as the bound allows meet
+their originals in some table at a rate above RECALL, half of what is over it as a
+margin (tests/llm/test_short_items.py measures it on other items).
 
 Items of fewer than SHORT words have too few steps for that and are looked up
 exactly: cut into one piece more than the edits allowed, an item leaves at least one
@@ -22,20 +23,25 @@ pigeonhole rule).
 Each (document, item) that meets in a table is verified by the exact edit distance of
 the item to the best stretch of the document there. The result has no false match.
 
-The benchmark is a query set: it goes to the tasks in blocks of at most
-BLOCK_ITEMS items, each block read against all documents.
+The benchmark is a query set: it goes to the tasks in blocks of about
+BLOCK_ITEMS items and BLOCK_BYTES bytes at most, each block read against all
+documents. A worker builds the tables of a block once, for all of its tasks.
 """
 
 from __future__ import annotations
 
+import sys
+import uuid
+from functools import cache
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_columns, table, text_bytes
 
-SIMILARITY, WALKS, SAMPLES, STEPS_SAMPLED, CLASS, BLOCK_ITEMS, RECALL, SHORT = 0.8, 4, 6, 2, 8, 20_000, 0.95, 16
-WORDS_AT_ONCE = 1 << 20
+SIMILARITY, MOST_WALKS, SAMPLES, STEPS_SAMPLED, CLASS, BLOCK_ITEMS, BLOCK_BYTES, RECALL, SHORT = 0.8, 24, 6, 2, 8, 20_000, 1 << 25, 0.95, 16
+WORDS_AT_ONCE, TRIALS = 1 << 20, 300
 #: Words have no case and no ASCII punctuation.
 FOLD = bytes(32 if (33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -89,6 +95,51 @@ def best_stretch(item: list, text: list) -> tuple[int, int]:
     return best, end
 
 
+def _laid_out(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items one after the other with a -1 after each, where they begin, and where the -1s are."""
+    lengths = np.array([len(x) for x in items], np.int64)
+    ends = np.cumsum(lengths + 1) - 1
+    flat = np.full(int(lengths.sum()) + len(items), -1, np.int64)
+    body = np.ones(len(flat), bool)
+    body[ends] = False
+    flat[body] = np.concatenate(items)
+    return flat, ends - lengths, ends
+
+
+def steps_of(length_class: int) -> int:
+    return int(1.5 * length_class * CLASS)
+
+
+def samplings(length_class: int, seed: int):
+    """For each walk, the steps that its tables compare."""
+    rng, steps = np.random.default_rng([seed, length_class]), steps_of(length_class)
+    while True:
+        yield [np.sort(rng.choice(steps, min(STEPS_SAMPLED, steps), replace=False)) for _ in range(SAMPLES)]
+
+
+@cache
+def walks_needed(length_class: int, similarity: float, seed: int) -> int:
+    """Walks after which TRIALS random items of the class with the most edits allowed met their originals often enough."""
+    rng, originals, edited = np.random.default_rng([seed, length_class, 1]), [], []
+    for i in range(TRIALS):
+        n = length_class * CLASS + (CLASS - 1) * (i % 2)
+        item = rng.integers(0, 1 << 20, n)
+        words = item.tolist()
+        for at in sorted(rng.choice(n, allowed_edits(n, similarity), replace=False).tolist(), reverse=True):
+            words[at : at + 1] = ([], [-2], [-2, words[at]])[rng.integers(3)]
+        originals.append(item)
+        edited.append(np.array(words, np.int64))
+    a, b = _laid_out(originals), _laid_out(edited)
+    met = np.zeros(TRIALS, bool)
+    for walk, picks in zip(range(MOST_WALKS), samplings(length_class, seed), strict=False):
+        x, y = (embed(*side, steps_of(length_class), walk) for side in (a, b))
+        for pick in picks:
+            met |= (x[pick] == y[pick]).all(axis=0)
+        if met.mean() >= (1 + RECALL) / 2:
+            break
+    return walk + 1
+
+
 class Index:
     """The LSH tables of a block of benchmark items."""
 
@@ -111,23 +162,17 @@ class Index:
             runs.setdefault(q, []).append(self.codes(x, q))
             self.need[q] = min(self.need.get(q, need), need)
         self.runs = {q: np.unique(np.concatenate(r)) for q, r in runs.items()}
-        rng = np.random.default_rng(seed)
         self.classes: dict[int, list] = {}
         for c in sorted({len(x) // CLASS for x in self.ids if len(x) >= SHORT}):
-            mine = [k for k, x in enumerate(self.ids) if len(x) >= SHORT and len(x) // CLASS == c]
-            steps = max(1, int(1.5 * max(c * CLASS, 1)))
-            tables = []
-            for walk in range(WALKS):
-                picks = [np.sort(rng.choice(steps, min(STEPS_SAMPLED, steps), replace=False)) for _ in range(SAMPLES)]
-                keys = [[] for _ in picks]
-                for k in mine:
-                    e = embed(np.append(self.ids[k], -1), np.array([0]), len(self.ids[k]), steps, walk)
-                    for out, pick in zip(keys, picks, strict=True):
-                        out.append(self.key(e, pick)[0])
-                for pick, out in zip(picks, keys, strict=True):
-                    order = np.argsort(np.array(out), kind="stable")
-                    tables.append((walk, pick, np.array(out)[order], np.array(mine)[order]))
-            self.classes[c] = [steps, tables]
+            mine = np.array([k for k, x in enumerate(self.ids) if len(x) >= SHORT and len(x) // CLASS == c])
+            laid_out, tables = _laid_out([self.ids[k] for k in mine]), []
+            for walk, picks in zip(range(walks_needed(c, similarity, seed)), samplings(c, seed), strict=False):
+                embedded = embed(*laid_out, steps_of(c), walk)
+                for pick in picks:
+                    keys = self.key(embedded, pick)
+                    order = np.argsort(keys, kind="stable")
+                    tables.append((walk, pick, keys[order], mine[order]))
+            self.classes[c] = [steps_of(c), tables]
 
     def cut(self, short: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By the length of a piece: codes of the pieces of these items in order, indices of the items, places of the pieces in them."""
@@ -193,11 +238,12 @@ class Index:
         """(start, index of an item) of the places of short items' pieces, and of the windows that meet another item in a table. ids: texts with a -1 after each, at `ends`."""
         starts = self.windows(ids)
         longest = max((s for s, _ in self.classes.values()), default=0)
+        walks = max((t[-1][0] + 1 for _, t in self.classes.values()), default=0)
         found = self.short_candidates(ids, ends)
         for a in range(0, len(starts), 1 << 16):  # bounds the memory
             some = starts[a : a + (1 << 16)]
             own_end = ends[np.searchsorted(ends, some)]
-            for walk in range(WALKS):
+            for walk in range(walks):
                 embedded = embed(ids, some, own_end, longest, walk)
                 for _, tables in self.classes.values():
                     for _, pick, keys, items in (t for t in tables if t[0] == walk):
@@ -238,6 +284,15 @@ class Index:
                 yield d, self.items[k][0], *best, 1 - best[2] / n
 
 
+def _index(name: str, items: list, similarity: float) -> Index:
+    """The index of a block, built once in a Python worker."""
+    held = sys.modules[__name__].__dict__.setdefault("_indices", {})
+    if (name, similarity) not in held:
+        held.clear()
+        held[name, similarity] = Index(items, similarity)
+    return held[name, similarity]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, first_word, n_words, edits and similarity of each benchmark item that a document has, at its best place.
 
@@ -247,7 +302,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     match each. Other columns are ignored. Empty tables give no rows.
     """
     items = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     schema = "doc_id long, item_id long, first_word long, n_words long, edits int, similarity double"
     names = [c.split()[0] for c in schema.split(", ")]
     found = None
@@ -255,8 +311,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         index = docs.sparkSession.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in block.collect()])
 
-        def run(batches, index=index):
-            made = Index(index.value, similarity)
+        def run(batches, index=index, name=uuid.uuid4().hex):
+            made = _index(name, index.value, similarity)
             known = type("Known", (dict,), {"__missing__": lambda self, w: -1})(made.vocabulary).__getitem__
 
             def rows(held):

@@ -33,7 +33,7 @@ def test_short_items_are_found_with_an_edit_at_any_place():
 
 def test_recall_of_longer_items_at_the_bound():
     rng = random.Random(6)
-    for length in (16, 17, 19, 23, 24, 31, 40, 59, 90, 200):
+    for length in (16, 17, 19, 20, 23, 24, 31, 40, 59, 80, 90, 200):
         items = [[f"w{rng.randrange(400)}" for _ in range(length)] for _ in range(200)]
         made, texts = index(items), []
         for item in items:
