@@ -2,13 +2,18 @@
 
 Entities are found by one regular expression. Each distinct entity - in a
 canonical form, so that spellings of one phone number or letter cases of one
-address stay one entity - gets a replacement drawn from a keyed digest: digits
-for digits, letters for letters of the same script and case, given names of the
-same gender and script, addresses of reserved domains, card numbers with the
-same check-digit validity, hexadecimal for hexadecimal.
+address or name stay one entity - gets a replacement drawn from a keyed digest:
+digits for digits, letters for letters of the same script and case, given names
+of the same gender and script, addresses of reserved domains, card and account
+numbers with check digits as valid as before, hexadecimal for hexadecimal.
+
+A name is known from a titled mention. It has one replacement whatever the
+title; its gender is that of its titles, `any` if they differ or tell none. In
+a text with a titled given name and surname, the same two words without a title
+are replaced too. A surname alone is replaced only behind a title.
 
 Two different entities never share a replacement and no replacement is itself
-an entity of the input: those that clash are drawn again with the next attempt
+an entity of the input, letter case aside: those that clash are drawn again with the next attempt
 number until none does. The draw depends on key, entity and attempt alone, so
 the same entity has the same replacement wherever it stands.
 
@@ -20,23 +25,29 @@ replacements are joined back, as they have one row for each entity.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import shuffle_partitions, table, written
 
 # What entities look like.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,7}\.[A-Za-z]{2,24}"
 PHONE = r"(?<![\d+.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+FOREIGN_PHONE = r"(?<![\d+.])\+[1-9]\d{0,2}(?:[ .-]\(?\d{1,5}\)?){2,5}(?!\d)|(?<![\d+.])\+[1-9]\d{8,14}(?!\d)"
 CARD = r"(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)|(?<![\d.])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
+IP6 = r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[0-9A-Za-z_\-+/]{8,128}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}| ?[A-Z]{4}\d{0,4}){3,7}(?: ?\d{1,3})?(?![A-Za-z0-9])"
 TITLE = r"(?:Mr\.|Mrs\.|Ms\.|Dr\.|Sr\.|Sra\.|Mme\.?|Herr|Frau|Monsieur|Madame|Señora|Señor|[Гг]осподин|[Гг]оспожа)"
 NAME = rf"(?<!\p{{L}}){TITLE} \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?"
-ENTITY = "|".join([EMAIL, SECRET, ACCESS_KEY, CARD, PHONE, SSN, IP, IBAN, NAME])
+FULL_NAME = rf"(?<!\p{{L}}){TITLE} (\p{{Lu}}\p{{L}}{{1,30}} \p{{Lu}}\p{{L}}{{1,30}})"
+ENTITY = "|".join([EMAIL, SECRET, ACCESS_KEY, CARD, PHONE, SSN, IP, IBAN, NAME, FOREIGN_PHONE, IP6])
 #: What every entity has one of, but for those that a digit or an @ gives away: key words in lower case, and titles.
 KEY_WORDS = ("passw", "pwd", "token", "secret", "key")
 TITLES = ("Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Sr. ", "Sra. ", "Mme", "Herr ", "Frau ", "Monsieur ", "Madame ", "Señor", "осподин ", "оспожа ")
@@ -52,6 +63,16 @@ GIVEN = {
 SYLLABLES = {"latin": "ba be bo da den dor el fa fer gan hal han jor ka kel lan lin mar men mo nel nor or pel ran ros sen ta ter vin wal", "cyrillic": "ба бе во го дан ев жи за ин ко лев ма ни ор пе ра се то ур фе"}
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω")
 MOST_ATTEMPTS = 24
+#: Session setting with the key, and the key of sessions without one: it protects nothing.
+KEY_SETTING, OPEN_KEY = "spark.basketry.pii.key", "published with the source"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; where it names none, a published one, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: anyone can draw these surrogates again", stacklevel=2)
+    return key or OPEN_KEY
 
 
 def _byte(digest: Column, i) -> Column:
@@ -85,13 +106,20 @@ def _luhn_digit(digits: Column) -> Column:
     return F.pmod(10 - F.pmod(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10)), F.lit(10)).cast("string")
 
 
+def _check_digits(country: Column, account: Column) -> Column:
+    """The two check digits of an account number without them: 98 less the number, country last, modulo 97."""
+    number = F.concat(account, country, F.lit("00"))
+    added = lambda rest, x: F.when(x.rlike("[0-9]"), (rest * 10 + x.cast("int")) % 97).otherwise((rest * 100 + F.ascii(x) - 55) % 97)
+    return F.lpad((98 - F.aggregate(F.filter(F.split(number, ""), lambda x: x != ""), F.lit(0), added)).cast("string"), 2, "0")
+
+
 def _pick(words: str, at: Column) -> Column:
     listed = words.split()
     return F.element_at(F.array(*map(F.lit, listed)), (F.pmod(at, F.lit(len(listed))) + 1).cast("int"))
 
 
-def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
-    """The replacement of a canonical entity."""
+def surrogate(key: str, kind: Column, entity: Column, gender: Column, attempt: Column) -> Column:
+    """The replacement of a canonical entity; gender is that of a given name."""
     d = _digest(key, kind, entity, attempt)
     number = lambda i: _byte(d, F.lit(i)) * 256 + _byte(d, F.lit(i + 1))
     digits = _letters(entity, d, ALPHABETS[:1])
@@ -106,26 +134,31 @@ def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column
     host = F.substring_index(F.substring_index(entity, "@", -1), ".", 1)
     of_domain = _digest(key, F.lit("domain"), F.substring_index(entity, "@", -1))
     email = F.concat(_letters(F.substring_index(entity, "@", 1), d), F.lit("@"), _letters(host, of_domain), F.lit(".example."), _pick("com net org", _byte(of_domain, F.lit(31))))
-    iban = F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.lit(64)), d))
+    country, old = F.substring(entity, 1, 2), F.substring(entity, F.lit(5), F.lit(64))
+    account = _letters(old, d)
+    right = _check_digits(country, account)
+    wrong = F.lpad((F.pmod(right.cast("int") + 1 + F.pmod(_byte(d, F.lit(30)), F.lit(90)), F.lit(97)) + 2).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(_check_digits(country, old) == F.substring(entity, 3, 2), right).otherwise(wrong), account)
+    foreign = F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.lit(64)), d, ALPHABETS[:1]))
     access = F.concat(F.substring(entity, 1, 4), _letters(F.substring(entity, F.lit(5), F.lit(64)), d, ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",)))
     hexadecimal = _letters(entity, d, ("0123456789abcdef",))
-    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "hex", hexadecimal).when(kind == "access_key", access).when(kind == "iban", iban)
+    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind.isin("hex", "ip6"), hexadecimal).when(kind == "foreign_phone", foreign).when(kind == "access_key", access).when(kind == "iban", iban)
     for script, syllables in SYLLABLES.items():
         made = F.initcap(F.concat(_pick(syllables, number(0)), _pick(syllables, number(2)), F.when(_byte(d, F.lit(4)) < 128, _pick(syllables, number(5))).otherwise("")))
         out = out.when(kind == f"surname_{script}", made)
-        for gender in ("male", "female", "any"):
-            # when the list runs short, longer forms keep names apart
-            longer = F.when(attempt > 3, F.concat(_pick(syllables, number(6)), _pick(syllables, number(8)))).otherwise("")
-            out = out.when(kind == f"given_{gender}_{script}", F.concat(_pick(GIVEN[f"{gender}_{script}"], number(4)), longer))
+        # when the list runs short, longer forms keep names apart
+        longer = F.when(attempt > 3, F.concat(_pick(syllables, number(6)), _pick(syllables, number(8)))).otherwise("")
+        for listed in ("male", "female", "any"):
+            out = out.when((kind == f"given_{script}") & (gender == listed), F.concat(_pick(GIVEN[f"{listed}_{script}"], number(4)), longer))
     drawn = out.otherwise(_letters(entity, d))
     # a format with fewer forms than entities gives up its form, not distinctness
     return F.when(attempt > MOST_ATTEMPTS, F.concat(drawn, F.lit("-"), F.substring(d, 1, 16))).otherwise(drawn)
 
 
 def _parts(surface: Column) -> Column:
-    """An entity as it stands, as an array of (kind, entity, text) parts; parts without a kind stay as they are."""
-    part = lambda kind, entity, text: F.struct(kind.alias("kind"), entity.alias("entity"), text.alias("text"))
+    """An entity as it stands, as an array of (kind, entity, gender, text) parts; parts without a kind stay as they are."""
     none, digits = F.lit(None).cast("string"), F.regexp_replace(surface, r"\D", "")
+    part = lambda kind, entity, text, gender=none: F.struct(kind.alias("kind"), entity.alias("entity"), gender.alias("gender"), text.alias("text"))
     whole = lambda kind, entity=surface: F.array(part(F.lit(kind), entity, surface))
     value = F.regexp_extract(surface, r"([0-9A-Za-z_\-+/]{8,128})$", 1)
     hexed = F.when(value.rlike("^[0-9a-f]+$"), "hex").otherwise("secret")
@@ -133,15 +166,16 @@ def _parts(surface: Column) -> Column:
     title = F.regexp_extract(surface, rf"^({TITLE} )", 1)
     words = F.split(F.substring(surface, F.length(title) + 1, F.lit(100)), " ")
     script = F.when(surface.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    gender = F.when(title.rlike(r"^(Mr\.|Sr\.|Herr|Monsieur|Señor |.осподин)"), "male").when(title.rlike(r"^(Dr\.)"), "any").otherwise("female")
-    given = part(F.concat_ws("_", F.lit("given"), gender, script), F.lower(words[0]), words[0])
+    gender = F.when(title.rlike(r"^(Mr\.|Sr\.|Herr|Monsieur|Señor |.осподин)"), "male").when(title.rlike(r"^(Mrs|Ms|Sra|Mme|Frau|Madame|Señora|.оспожа)"), "female")
+    given = part(F.concat(F.lit("given_"), script), F.lower(words[0]), words[0], gender)
     last = F.element_at(words, -1)
     surname = part(F.concat(F.lit("surname_"), script), F.lower(last), last)
     name = F.when(F.size(words) == 2, F.array(part(none, none, title), given, part(none, none, F.lit(" ")), surname)).otherwise(F.array(part(none, none, title), surname))
     return (
         F.when(surface.rlike(f"^(?:{EMAIL})$"), whole("email", F.lower(surface))).when(surface.rlike(f"^(?:{SECRET})$"), secret).when(surface.rlike(f"^(?:{ACCESS_KEY})$"), whole("access_key"))
         .when(surface.rlike(f"^(?:{CARD})$"), whole("card", digits)).when(surface.rlike(f"^(?:{PHONE})$"), whole("phone", F.substring(digits, -10, 10))).when(surface.rlike(f"^(?:{SSN})$"), whole("ssn", digits))
-        .when(surface.rlike(f"^(?:{IP})$"), whole("ip")).when(surface.rlike(f"^(?:{IBAN})$"), whole("iban", F.regexp_replace(surface, " ", ""))).otherwise(name)
+        .when(surface.rlike(f"^(?:{IP})$"), whole("ip")).when(surface.rlike(f"^(?:{IBAN})$"), whole("iban", F.regexp_replace(surface, " ", "")))
+        .when(surface.rlike(f"^(?:{FOREIGN_PHONE})$"), whole("foreign_phone", digits)).when(surface.rlike(f"^(?:{IP6})$"), whole("ip6", F.lower(surface))).otherwise(name)
     )
 
 
@@ -152,7 +186,7 @@ def _rendered(kind: Column, text: Column, drawn: Column) -> Column:
     place = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i + 1), r"[^0-9A-Z]", ""))
     formatted = F.array_join(F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x, i: F.when(x.rlike("[0-9A-Z]"), F.substring(chars, place(i), F.lit(1))).otherwise(x)), "")
     fits = F.length(drawn) <= F.length(have)
-    return F.when(kind.isin("phone", "card", "ssn", "iban") & fits, formatted).when(kind.rlike("^(given|surname)") & (F.upper(text) == text), F.upper(drawn)).otherwise(drawn)
+    return F.when(kind.isin("phone", "foreign_phone", "card", "ssn", "iban") & fits, formatted).when(kind.rlike("^(given|surname|ip6)") & (F.upper(text) == text), F.upper(drawn)).otherwise(drawn)
 
 
 def has_entity(text: Column) -> Column:
@@ -166,45 +200,61 @@ def has_entity(text: Column) -> Column:
     return F.coalesce(maybe & text.rlike(ENTITY), F.lit(False))
 
 
+def _space(kind: Column) -> Column:
+    """Entities of which space a replacement must not be: all names count as one kind."""
+    return F.when(kind.rlike("^(given|surname)"), "name").otherwise(kind)
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, surrogate) for distinct rows of (kind, entity): no surrogate twice in a kind, none that is an entity."""
-    attempt = 0
-    open_, done = entities.select("kind", "entity"), None
+    """(kind, entity, surrogate) for distinct rows of (kind, entity, gender): no two entities share a surrogate, and none is an entity, letter case aside."""
+    n = shuffle_partitions(entities.sparkSession)
+    space = _space(F.col("kind")).alias("space")
+    known = entities.select(space, F.lower("entity").alias("form")).distinct()
+    attempt, open_, done = 0, entities.select("kind", "entity", "gender"), None
     while True:
-        drawn = open_.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("entity"), F.lit(attempt)))
-        taken = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("taken"))
-        if done is not None:
-            taken = taken.union(done.select("kind", "surrogate", F.lit(True))).distinct()
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"))
-        judged = drawn.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left")
-        # a short format may leave no form that is not an entity; then only distinctness is asked for
-        judged = written(judged.select("kind", "entity", "surrogate", ((F.col("entity") == F.col("first")) & F.col("taken").isNull()).alias("good")), "drawn")
-        good = judged.where("good").drop("good")
+        # dealt by entity first: the draw is the work, and a small table may be one partition
+        drawn = open_.repartition(n, "kind", "entity").withColumn("surrogate", surrogate(key, F.col("kind"), F.col("entity"), F.col("gender"), F.lit(attempt)))
+        drawn = drawn.withColumns({"space": space, "form": F.lower("surrogate")})
+        same = Window.partitionBy("space", "form").orderBy("kind", "entity")
+        ranked = drawn.withColumn("place", F.row_number().over(same))
+        taken = known if done is None else known.union(done.select(space, F.lower("surrogate"))).distinct()
+        judged = ranked.join(taken.withColumn("taken", F.lit(True)), ["space", "form"], "left")
+        judged = written(judged.select("kind", "entity", "gender", "surrogate", ((F.col("place") == 1) & F.col("taken").isNull()).alias("good")), "drawn")
+        good = judged.where("good").select("kind", "entity", "surrogate")
         done = good if done is None else written(done.union(good), "surrogates")
-        open_ = judged.where("not good").select("kind", "entity")
+        open_ = judged.where("not good").select("kind", "entity", "gender")
         if open_.isEmpty():
             return done
         attempt += 1
 
 
-def replace_pii(docs: DataFrame, key: str = "change me") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """The rows of docs with replacements in their texts, and n_entities.
 
     All columns are kept, whatever their names, but for `n_entities`, which is
     replaced. Null texts stay null and have no entities; null and repeated
-    doc_ids and repeated rows keep each row. An empty table gives no rows.
+    doc_ids and repeated rows keep each row; equal texts stay equal. Long texts
+    are read whole. An empty table gives no rows. Whoever has the key can draw the
+    surrogates again, so it is to be kept secret.
     """
     names = [c for c in docs.columns if c != "n_entities"]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     has = has_entity(F.col("text"))
     found = written(docs.where(has).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("at", F.monotonically_increasing_id()), "with_entities")
-    surfaces = F.regexp_extract_all(F.col("row.text"), F.lit(ENTITY), F.lit(0))
-    gaps = F.split(F.col("row.text"), ENTITY, -1)
-    gap = lambda x: F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("entity"), x.alias("text")))
+    # the full names of a text, which are letters and a space, join its expression
+    titled = F.array_distinct(F.regexp_extract_all(F.col("row.text"), F.lit(FULL_NAME), F.lit(1)))
+    bare = F.concat(F.lit(r"|(?<!\p{L})(?=\p{Lu})(?:"), F.array_join("titled", "|"), F.lit(r")(?!\p{L})"))
+    found = found.withColumn("titled", titled).withColumn("pattern", F.concat(F.lit(ENTITY), F.when(F.size("titled") > 0, bare).otherwise("")))
+    surfaces = F.regexp_extract_all(F.col("row.text"), F.col("pattern"), F.lit(0))
+    gaps = F.split(F.col("row.text"), F.col("pattern"), -1)
+    nothing = F.lit(None).cast("string")
+    gap = lambda x: F.array(F.struct(nothing.alias("kind"), nothing.alias("entity"), nothing.alias("gender"), x.alias("text")))
     split = found.select("at", "row", surfaces.alias("surfaces"), gaps.alias("gaps"))
     pieces = F.concat(gap(F.col("gaps")[0]), F.flatten(F.zip_with("surfaces", F.slice("gaps", F.lit(2), F.size("surfaces")), lambda s, g: F.concat(_parts(s), gap(g)))))
     pieces = written(split.select("at", F.size("surfaces").alias("n_entities"), F.posexplode(pieces).alias("place", "piece")).select("at", "n_entities", "place", "piece.*"), "pieces")
-    mapping = surrogates(written(pieces.where("kind is not null").select("kind", "entity").distinct(), "entities"), key)
+    men, women = (F.max(F.coalesce(F.col("gender") == x, F.lit(False))) for x in ("male", "female"))
+    gender = F.when(men & ~women, "male").when(women & ~men, "female").otherwise("any")
+    mapping = surrogates(written(pieces.where("kind is not null").groupBy("kind", "entity").agg(gender.alias("gender")), "entities"), key)
     replaced = pieces.join(mapping, ["kind", "entity"], "left")
     replaced = replaced.withColumn("out", F.when(F.col("surrogate").isNull(), F.col("text")).otherwise(_rendered(F.col("kind"), F.col("text"), F.col("surrogate"))))
     texts = replaced.groupBy("at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "out"))), lambda x: x["out"]), "").alias("new_text"), F.first("n_entities").alias("n"))
@@ -213,4 +263,4 @@ def replace_pii(docs: DataFrame, key: str = "change me") -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))

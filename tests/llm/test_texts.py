@@ -43,7 +43,7 @@ PRIVATE = (
 
 
 def replaced(spark, *texts):
-    d = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, kind string")
+    d = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, kind string")  # a column that the operator uses inside
     return {r["doc_id"]: r for r in pii.replace_pii(d, "k").collect()}
 
 
@@ -73,8 +73,48 @@ def test_surrogates_are_distinct_even_where_formats_are_short(spark):
 
 
 def test_pii_keeps_rows_and_columns(docs, no_docs):
-    out = pii.replace_pii(docs)
-    assert out.count() == docs.count() and out.columns == [*docs.columns, "n_entities"] and pii.replace_pii(no_docs).count() == 0
+    out = pii.replace_pii(docs, "k")
+    assert out.count() == docs.count() and out.columns == [*docs.columns, "n_entities"] and pii.replace_pii(no_docs, "k").count() == 0
+
+
+def test_no_surrogate_is_a_name_of_the_input(spark):
+    men = [*pii.GIVEN["male_latin"].split(), "Zoltan", "Bodo", "Karl"]
+    got = replaced(spark, *[f"Mr. {m} Olsen{'abcdefghijklmnopqrstuvwxyz'[i % 26] * (1 + i // 26)} left." for i, m in enumerate(men)])
+    new = [re.fullmatch(r"Mr\. (\w+) (\w+) left\.", got[i]["text"]).groups() for i in range(len(men))]
+    assert not {g.lower() for g, _ in new} & {m.lower() for m in men} and len({g for g, _ in new}) == len({s for _, s in new}) == len(men)
+
+
+def test_a_name_has_one_surrogate_whatever_its_title(spark):
+    got = replaced(spark, "Mrs. Anna Smith and Dr. Anna Smith and Anna Smith left. Dr. ANNA SMITH and Mrs. Smith, Annabel Smithson and the smith stay.", "Mr. Anna Rossi", "Anna Smith is in no titled mention here")
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) and Dr\. (\w+) (\w+) and (\w+) (\w+) left\. Dr\. (\w+) (\w+) and Mrs\. (\w+), Annabel Smithson and the smith stay\.", got[0]["text"])
+    given, surname = m[1], m[2]
+    assert (m[3], m[4]) == (m[5], m[6]) == (given, surname) and (m[7], m[8]) == (given.upper(), surname.upper()) and m[9] == surname
+    assert given in pii.GIVEN["any_latin"].split() and "Anna" not in m.groups() and got[1]["text"].startswith(f"Mr. {given} ") and got[2]["text"] == "Anna Smith is in no titled mention here"
+
+
+def mod_97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_account_numbers_keep_valid_or_wrong_check_digits(spark):
+    got = replaced(spark, "to GB82 WEST 1234 5698 7654 32 now", "and DE89370400440532013000 now", "but DE88370400440532013000 now", "SSN 078-05-1120 and again 078-05-1120, other 219-09-9999")
+    new = [re.search(r"[A-Z]{2}\d{2}[A-Z0-9 ]+\d", got[i]["text"])[0].replace(" ", "") for i in range(3)]
+    assert [x[:2] for x in new] == ["GB", "DE", "DE"] and [mod_97(x) == 1 for x in new] == [True, True, False]
+    assert re.fullmatch(r"to GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d now", got[0]["text"]) and new[1] != "DE89370400440532013000"
+    a, b, c = re.findall(r"\d{3}-\d{2}-\d{4}", got[3]["text"])
+    assert a == b != c and not {a, c} & {"078-05-1120", "219-09-9999"}
+
+
+def test_foreign_phones_and_long_addresses(spark):
+    got = replaced(spark, "call +44 20 7946 0958 or +442079460958, host 2001:db8::FF00:42:8329 and FE80::1 at 12:30:45 in std::vector and a::b")
+    m = re.fullmatch(r"call (\+44 \d\d \d{4} \d{4}) or (\+44\d{10}), host (\S+) and (\S+) at 12:30:45 in std::vector and a::b", got[0]["text"])
+    assert m[1].replace(" ", "") == m[2] != "+442079460958" and re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}", m[3]) and re.fullmatch(r"[0-9A-F]{4}::[0-9A-F]", m[4])
+
+
+def test_surrogates_depend_on_the_key(spark):
+    d = spark.createDataFrame([(1, "Mr. John Smith"), (1, "Mr. John Smith"), (None, "Mr. John Smith")], "doc_id long, text string")
+    one, two = ({r["text"] for r in pii.replace_pii(d, k).collect()} for k in ("k", "another"))
+    assert len(one) == len(two) == 1 and one != two
 
 
 def test_license_notices_and_what_only_looks_like_one(spark):
