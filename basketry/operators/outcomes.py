@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import Tables, week_of
 from .spine import spine
@@ -21,18 +20,39 @@ def promoted(tables: Tables, only_bc: bool = True) -> DataFrame:
     return causal.groupBy("product_id", "store_id", "week_no").agg(F.max((F.col("display") != "0").cast("long")).alias("on_display"), F.max((F.col("mailer") != "0").cast("long")).alias("in_flyer"))
 
 
+def calendar(tables: Tables) -> DataFrame:
+    """One row for each day on which a campaign runs."""
+    return tables.campaigns.select("campaign", "campaign_type", F.explode(F.sequence("start_day", "end_day")).alias("day"))
+
+
 def buys(tables: Tables) -> DataFrame:
-    """Every purchase of a campaign's product inside that campaign's window."""
-    return (
-        tables.transactions.join(tables.campaign_products(), "product_id").join(F.broadcast(tables.campaigns), "campaign").where("day between start_day and end_day")
-        .select("household_key", "campaign", "campaign_type", "product_id", "store_id", "week_no", F.col("sales_cents").alias("cents"))
-    )
+    """Lines that fall on a day of a campaign and hold one of its products.
+
+    The day comes first: few campaigns run on one day, while a product may belong to many.
+    """
+    lines = tables.transactions.select("household_key", "product_id", "store_id", "day", "week_no", F.col("sales_cents").alias("cents"))
+    return lines.join(calendar(tables), "day").join(tables.campaign_products(), ["campaign", "product_id"]).select(*PAIR, "campaign_type", "product_id", "store_id", "week_no", "cents")
 
 
 def redeemed_products(tables: Tables) -> DataFrame:
     return tables.redemptions.select("household_key", "campaign", "coupon_upc").distinct().join(tables.coupons, ["campaign", "coupon_upc"]).select("household_key", "campaign", "product_id").distinct()
 
 
+def window_sums(tables: Tables) -> DataFrame:
+    """One row for each household with lines in a campaign's window: cents, cents of products it redeemed (null without any), and 0/1 for lines of three kinds.
+
+    plain: neither displayed nor in a flyer that week in that store; unshown: not displayed; plain_redeemed: a plain line of a redeemed product.
+    """
+    lines = buys(tables).join(promoted(tables), ["product_id", "store_id", "week_no"], "left").join(redeemed_products(tables).withColumn("redeemed", F.lit(True)), [*PAIR, "product_id"], "left")
+    unshown = F.coalesce("on_display", F.lit(0)) == 0
+    plain = unshown & (F.coalesce("in_flyer", F.lit(0)) == 0)
+    any_ = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("long"))
+    return lines.groupBy(*PAIR, "campaign_type").agg(
+        F.sum("cents").alias("cents"), F.sum(F.when(F.col("redeemed"), F.col("cents"))).alias("redeemed_cents"),
+        any_(plain).alias("plain"), any_(unshown).alias("unshown"), any_(plain & F.col("redeemed")).alias("plain_redeemed"),
+    )
+
+
 def spend(tables: Tables) -> DataFrame:
     return buys(tables).groupBy(*PAIR).agg((F.sum("cents") / 100).alias("campaign_product_spend_during"))
 
@@ -41,15 +61,14 @@ def redeemed_spend(tables: Tables) -> DataFrame:
     return buys(tables).join(redeemed_products(tables), [*PAIR, "product_id"], "left_semi").groupBy(*PAIR).agg((F.sum("cents") / 100).alias("redeemed_coupon_product_spend_during"))
 
 
+def _bought(sums: DataFrame) -> DataFrame:
+    # one redeemed item clears the last flag even if others were bought
+    return sums.withColumns({"bought_excl_display_flyer": F.col("plain"), "bought_excl_display": F.col("unshown"), "bought_without_redemption": F.col("plain") - F.col("plain_redeemed")})
+
+
 def bought(tables: Tables) -> DataFrame:
     """0/1 for households of type B and C campaigns: bought an item that was neither displayed nor in a flyer, not displayed, and such an item without a redemption."""
-    via = redeemed_products(tables).withColumn("via", F.lit(1).cast("long"))
-    b = buys(tables).where("campaign_type <> 'A'").join(promoted(tables), ["product_id", "store_id", "week_no"], "left").join(via, [*PAIR, "product_id"], "left")
-    shown, flyer = F.coalesce("on_display", F.lit(0)) == 0, F.coalesce("in_flyer", F.lit(0)) == 0
-    flag = lambda c: F.max(c.cast("long"))
-    found = b.groupBy(*PAIR).agg(flag(shown & flyer).alias("both"), flag(shown).alias("display"), flag(shown & flyer & F.col("via").isNotNull()).alias("redeemed_item"))
-    # one redeemed item clears the last flag even if others were bought
-    return found.select(*PAIR, F.col("both").alias("bought_excl_display_flyer"), F.col("display").alias("bought_excl_display"), (F.col("both") - F.col("redeemed_item")).alias("bought_without_redemption"))
+    return _bought(window_sums(tables).where("campaign_type <> 'A'")).select(*PAIR, "bought_excl_display_flyer", "bought_excl_display", "bought_without_redemption")
 
 
 def overlap(tables: Tables) -> DataFrame:
@@ -63,11 +82,17 @@ def overlap(tables: Tables) -> DataFrame:
 
 
 def usual_store(tables: Tables) -> DataFrame:
-    """The store with most lines before the campaign starts; the smaller number wins ties."""
-    days = tables.transactions.groupBy("household_key", "store_id", "day").agg(F.count(F.lit(1)).alias("n"))
-    counts = days.join(F.broadcast(tables.campaigns.select("campaign", "start_day")), F.col("day") < F.col("start_day")).groupBy(*PAIR, "store_id").agg(F.sum("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.desc("n"), "store_id"))
-    return counts.withColumn("rank", best).where("rank = 1").select(*PAIR, "store_id")
+    """The store with most lines before the campaign starts; the smaller number wins ties.
+
+    Lines are counted by the first start day after them, so a household's history
+    meets the campaigns as at most one row for each of its stores and start days.
+    """
+    starts = tables.campaigns.select(F.sort_array(F.collect_set("start_day")).alias("starts"))  # one row, of as many numbers as the checked campaign table has
+    first_after = F.try_element_at(F.filter("starts", lambda s: s > F.col("day")), F.lit(1))
+    counted = tables.transactions.crossJoin(F.broadcast(starts)).select("household_key", "store_id", first_after.alias("next_start"))
+    spans = counted.where("next_start is not null").groupBy("household_key", "store_id", "next_start").agg(F.count(F.lit(1)).alias("n"))
+    counts = spans.join(F.broadcast(tables.campaigns.select("campaign", "start_day")), F.col("next_start") <= F.col("start_day")).groupBy(*PAIR, "store_id").agg(F.sum("n").alias("n"))
+    return counts.groupBy(*PAIR).agg(F.min(F.struct((-F.col("n")).alias("n"), "store_id"))["store_id"].alias("store_id"))
 
 
 def promo_share(tables: Tables) -> DataFrame:
@@ -85,13 +110,11 @@ def outcome_table(tables: Tables, rows: DataFrame | None = None) -> DataFrame:
     """One row for each grid row with all outcomes; null where an outcome has no meaning."""
     rows = (spine(tables) if rows is None else rows).select(*PAIR, "campaign_type", "redeemed_flag")
     flag = overlap(tables).withColumn("mailed_overlapping_campaign", F.lit(1).cast("long"))
-    out = rows
-    for part in (spend(tables), redeemed_spend(tables), bought(tables), flag, promo_share(tables)):
-        out = out.join(part, PAIR, "left")
+    out = rows.join(_bought(window_sums(tables)).drop("campaign_type"), PAIR, "left").join(flag, PAIR, "left").join(promo_share(tables), PAIR, "left")
     open_ = F.col("campaign_type") != "A"
     return out.select(
-        *PAIR, F.coalesce("campaign_product_spend_during", F.lit(0.0)).alias("campaign_product_spend_during"),
-        F.when(F.col("redeemed_flag") == 1, F.coalesce("redeemed_coupon_product_spend_during", F.lit(0.0))).alias("redeemed_coupon_product_spend_during"),
+        *PAIR, (F.coalesce("cents", F.lit(0)) / 100).alias("campaign_product_spend_during"),
+        F.when(F.col("redeemed_flag") == 1, F.coalesce("redeemed_cents", F.lit(0)) / 100).alias("redeemed_coupon_product_spend_during"),
         *[F.when(open_, F.coalesce(c, F.lit(0)).cast("double")).alias(c) for c in ("bought_excl_display_flyer", "bought_excl_display", "bought_without_redemption")],
         F.coalesce("mailed_overlapping_campaign", F.lit(0)).alias("mailed_overlapping_campaign"), "campaign_promo_share",
     )

@@ -16,13 +16,13 @@ from .queries_metrics import M, _caught, on
 A = {
     **M,
     "mailed_pairs": "SELECT DISTINCT household_key, campaign FROM mailings",
-    "control": "SELECT household_key, campaign FROM grid WHERE (household_key, campaign) NOT IN (SELECT household_key, campaign FROM mailed_pairs) AND (household_key, campaign) NOT IN (SELECT household_key, campaign FROM overlap)",
-    "plain_buys": "SELECT DISTINCT household_key, campaign, product_id FROM buys LEFT JOIN promoted USING (product_id, store_id, week_no) WHERE campaign_type <> 'A' AND coalesce(on_display, 0) = 0 AND coalesce(in_flyer, 0) = 0",
+    "control": "SELECT household_key, campaign FROM grid WHERE (household_key, campaign) NOT IN (SELECT household_key, campaign FROM mailed_pairs) AND (household_key, campaign) NOT IN (SELECT household_key, campaign FROM also_mailed)",
+    "plain_buys": "SELECT household_key, campaign, product_id FROM judged WHERE plain AND campaign_type <> 'A' GROUP BY household_key, campaign, product_id",
     "product_uplift": """SELECT e.campaign, e.product_id, coalesce(n_treated_bought, 0)::BIGINT AS n_treated_bought, coalesce(n_control_bought, 0)::BIGINT AS n_control_bought, coalesce(n_without_redemption, 0)::BIGINT AS n_without_redemption, coalesce(n_treated_bought, 0)::DOUBLE / n_mailed AS treated_rate,
         coalesce(n_control_bought, 0)::DOUBLE / n_control AS control_rate, coalesce(n_treated_bought, 0)::DOUBLE / n_mailed - coalesce(n_control_bought, 0)::DOUBLE / n_control AS uplift FROM cprod e JOIN campaigns k ON k.campaign = e.campaign AND k.campaign_type <> 'A'
         LEFT JOIN (SELECT b.campaign, b.product_id, count(*) FILTER (WHERE p.campaign IS NOT NULL) AS n_treated_bought, count(*) FILTER (WHERE c.campaign IS NOT NULL) AS n_control_bought, count(*) FILTER (WHERE p.campaign IS NOT NULL AND r.campaign IS NULL) AS n_without_redemption
             FROM plain_buys b LEFT JOIN mailed_pairs p ON p.household_key = b.household_key AND p.campaign = b.campaign LEFT JOIN control c ON c.household_key = b.household_key AND c.campaign = b.campaign
-            LEFT JOIN redeemed_products r ON r.household_key = b.household_key AND r.campaign = b.campaign AND r.product_id = b.product_id GROUP BY b.campaign, b.product_id) n ON n.campaign = e.campaign AND n.product_id = e.product_id
+            LEFT JOIN coupon_items r ON r.household_key = b.household_key AND r.campaign = b.campaign AND r.product_id = b.product_id GROUP BY b.campaign, b.product_id) n ON n.campaign = e.campaign AND n.product_id = e.product_id
         LEFT JOIN (SELECT campaign, count(*) AS n_mailed FROM mailed_pairs WHERE household_key IN (SELECT household_key FROM tx) GROUP BY campaign) x ON x.campaign = e.campaign LEFT JOIN (SELECT campaign, count(*) AS n_control FROM control GROUP BY campaign) y ON y.campaign = e.campaign""",
 }
 _RATES = "count(*)::BIGINT AS n, count(*) FILTER (WHERE treatment = 1)::BIGINT AS n_treated, avg(label) FILTER (WHERE treatment = 1) AS treated_rate, avg(label) FILTER (WHERE treatment <> 1) AS control_rate, avg(label) FILTER (WHERE treatment = 1) - avg(label) FILTER (WHERE treatment <> 1) AS uplift"
