@@ -1,9 +1,12 @@
 """Point-in-time features of a household: nothing on or after the cutoff day counts.
 
-All windows come from one range join of the cutoff rows to the household's
-lines and one grouping with conditional aggregates; lines are first summed by
-household, day, basket and product. A campaign's own products are joined as an
-equality on (campaign, product).
+The windows of 8 and 26 weeks come from one join of the cutoff rows to the
+household's lines of the half years that a window touches, and one grouping with
+conditional aggregates; lines are first summed by household, day, basket and
+product. What looks at all history (first day, last day, all coupon lines) comes
+from running sums over a household's days, among which its cutoffs are sorted, so
+no line is repeated for it. A campaign's own products are joined as an equality on
+(campaign, product).
 """
 
 from __future__ import annotations
@@ -25,31 +28,51 @@ def _window(weeks: int) -> Column:
     return F.col("day") >= F.col("cutoff_day") - 7 * weeks
 
 
+HALF_YEAR = 7 * 26
+
+
 def _lines(t: Tables, rows: DataFrame) -> DataFrame:
-    """Cutoff rows with their earlier lines, summed by basket and product, and whether the product (or its commodity) is the campaign's."""
+    """Cutoff rows with their lines of the 26 weeks before, summed by basket and product, and whether the product (or its commodity) is the campaign's."""
     lines = t.transactions.groupBy("household_key", "day", "basket_id", "product_id").agg(
         F.sum("sales_cents").alias("cents"), F.sum(F.when(F.col("retail_disc_cents") < 0, F.col("sales_cents")).otherwise(0)).alias("discount_cents"), F.count_if(F.col("coupon_disc_cents") < 0).alias("coupon_lines")
     )
-    lines = lines.join(t.products.select("product_id", "department", "commodity"), "product_id", "left")
+    lines = lines.join(t.products.select("product_id", "department", "commodity"), "product_id", "left").withColumn("span", F.floor(F.col("day") / HALF_YEAR))
     own = t.campaign_products().withColumn("own_product", F.lit(True))
     kinds = t.campaign_products().join(t.products, "product_id").select("campaign", "commodity").where("commodity is not null").distinct().withColumn("own_kind", F.lit(True))
-    both = rows.select(*KEY).join(lines, "household_key").where("day < cutoff_day")
+    spans = F.array_distinct(F.array(F.floor((F.col("cutoff_day") - HALF_YEAR) / HALF_YEAR), F.floor((F.col("cutoff_day") - 1) / HALF_YEAR)))
+    both = rows.select(*KEY, F.explode(spans).alias("span")).join(lines, ["household_key", "span"]).where((F.col("day") < F.col("cutoff_day")) & _window(26)).drop("span")
     return both.join(own, ["campaign", "product_id"], "left").join(kinds, ["campaign", "commodity"], "left").fillna(False, ["own_product", "own_kind"])
 
 
+def _history(t: Tables, rows: DataFrame) -> DataFrame:
+    """first_day, last_day and coupons_all of the days before each cutoff; rows without such a day are left out."""
+    none = F.lit(None).cast("long")
+    days = t.transactions.groupBy("household_key", "day").agg(F.count_if(F.col("coupon_disc_cents") < 0).alias("coupons"))
+    days = days.select("household_key", F.col("day").alias("at"), F.lit(1).alias("later"), "day", "coupons", none.alias("campaign"))
+    asked = rows.select("household_key", F.col("cutoff_day").alias("at"), F.lit(0).alias("later"), none.alias("day"), F.lit(0).cast("long").alias("coupons"), "campaign")
+    so_far = Window.partitionBy("household_key").orderBy("at", "later").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = days.unionByName(asked).withColumns({"first_day": F.min("day").over(so_far), "last_day": F.max("day").over(so_far), "coupons_all": F.sum("coupons").over(so_far)})
+    return known.where("later = 0 and first_day is not null").select("household_key", "campaign", F.col("at").alias("cutoff_day"), "first_day", "last_day", "coupons_all")
+
+
 def _habits(t: Tables, rows: DataFrame) -> DataFrame:
     x = _lines(t, rows)
     total = lambda c, *where: F.sum(F.when(_all(where), F.col(c)).otherwise(0))
+    recent = _window(8)
     # distinct counts in two steps: one row a basket first, then one a cutoff row
-    sums = x.groupBy(*KEY).agg(
-        F.min("day").alias("first_day"), F.max("day").alias("last_day"), total("cents", _window(8)).alias("cents_8"), total("cents", _window(26)).alias("cents_26"), total("discount_cents", _window(26)).alias("discount_26"),
-        total("coupon_lines", _window(8)).alias("coupons_8"), total("coupon_lines", _window(26)).alias("coupons_26"), F.sum("coupon_lines").alias("coupons_all"),
-        total("cents", _window(26), F.col("own_product")).alias("own_cents"), total("coupon_lines", _window(26), F.col("own_product")).alias("own_coupons"), total("coupon_lines", _window(26), F.col("own_kind")).alias("kind_coupons"),
-        F.size(F.collect_set(F.when(_window(26), F.col("department")))).cast("long").alias("departments"), F.size(F.collect_set(F.when(_window(26) & (F.col("coupon_lines") > 0), F.col("commodity")))).cast("long").alias("coupon_commodities"),
+    baskets = x.groupBy(*KEY, "basket_id").agg(
+        F.max(recent).alias("in_8"), F.max(F.col("coupon_lines") > 0).alias("with_coupon"), total("cents", recent).alias("cents_8"), F.sum("cents").alias("cents_26"), F.sum("discount_cents").alias("discount_26"),
+        total("coupon_lines", recent).alias("coupons_8"), F.sum("coupon_lines").alias("coupons_26"), total("cents", F.col("own_product")).alias("own_cents"),
+        total("coupon_lines", F.col("own_product")).alias("own_coupons"), total("coupon_lines", F.col("own_kind")).alias("kind_coupons"),
+        F.collect_set("department").alias("departments"), F.collect_set(F.when(F.col("coupon_lines") > 0, F.col("commodity"))).alias("commodities"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("cents_8", "cents_26", "discount_26", "coupons_8", "coupons_26", "own_cents", "own_coupons", "kind_coupons")]
+    kinds = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
+    habits = baskets.groupBy(*KEY).agg(
+        *sums, kinds("departments").alias("departments"), kinds("commodities").alias("coupon_commodities"),
+        F.count_if("in_8").alias("trips_8"), F.count(F.lit(1)).alias("trips_26"), F.count_if("with_coupon").alias("coupon_trips_26"),
     )
-    baskets = x.groupBy(*KEY, "basket_id").agg(F.max(_window(8)).alias("in_8"), F.max(_window(26)).alias("in_26"), F.max(_window(26) & (F.col("coupon_lines") > 0)).alias("coupon_26"))
-    trips = baskets.groupBy(*KEY).agg(*[F.count_if(F.col(c)).alias(n) for c, n in (("in_8", "trips_8"), ("in_26", "trips_26"), ("coupon_26", "coupon_trips_26"))])
-    return sums.join(trips, KEY)
+    return _history(t, rows).join(habits, KEY, "left")
 
 
 def _all(conditions) -> Column:
