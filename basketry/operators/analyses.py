@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,14 +132,21 @@ def same_habit_auc(df: DataFrame, score: str, label: str, habit: str) -> DataFra
     place = F.row_number().over(Window.partitionBy("campaign").orderBy(habit, "household_key"))
     n = F.count(F.lit(1)).over(Window.partitionBy("campaign"))
     fifth = F.floor((place - 1) * 5 / n).cast("long")
-    a = metrics.auc(df.withColumn("fifth", fifth), score, label, ["campaign", "fifth"]).where("auc is not null")
+    x = df.withColumn("fifth", fifth)
+    varied = x.groupBy("campaign", "fifth").agg((F.min(score) < F.max(score)).alias("varied"))  # cells with one score tell nothing
+    a = metrics.auc(x, score, label, ["campaign", "fifth"]).join(varied, ["campaign", "fifth"]).where("auc is not null and varied")
     return a.agg((F.sum(F.col("auc") * F.col("pos")) / F.sum("pos")).alias("auc"))
 
 
 def signal_screen(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(column, auc) of each column alone, folded to 0.5 and above; each column is ranked over all rows by ranges of its values."""
-    one = lambda c: metrics.auc(df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"), label), "x", label).select(F.lit(c).alias("column"), F.greatest("auc", 1 - F.col("auc")).alias("auc"))
-    return reduce(DataFrame.unionByName, map(one, columns))
+    """(column, auc) of each column alone, folded to 0.5 and above; null with one class. All columns are ranked at once, each by ranges of its values."""
+    stacked = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in columns)
+    x = df.select(F.col(label).cast("long").alias("y"), F.expr(f"stack({len(columns)}, {stacked}) AS (column, s)")).where("s is not null")
+    g = metrics.ranked_by_ranges(x.groupBy("column", "s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), ["column"])
+    parts = metrics._auc_parts(g, ["column"])
+    pairs = 2 * F.col("pos") * (F.col("n") - F.col("pos"))
+    auc = F.when(pairs > 0, F.col("wins2") / pairs)
+    return parts.select("column", F.greatest(auc, 1 - auc).alias("auc"))
 
 
 def depth_table(df: DataFrame, scores: list[str], label: str, shares=(0.1, 0.2, 0.3, 0.5)) -> DataFrame:

@@ -106,11 +106,34 @@ def scramble_future(t: Tables, cutoff: int, seed: int = 0) -> Tables:
     return t.with_(transactions=moved(t.transactions), redemptions=moved(t.redemptions))
 
 
-def leak_test(t: Tables, cutoff: int, build, columns: list[str]) -> DataFrame:
-    """(column, n_changed): how many values of a feature at one cutoff change when the days from it on are scrambled. build: (tables, rows) -> features."""
-    rows = t.transactions.select("household_key").distinct().crossJoin(F.broadcast(t.campaigns.where(F.col("start_day") == cutoff).select("campaign"))).withColumn("cutoff_day", F.lit(cutoff).cast("long"))
-    before = build(t, rows).select(*PAIR, *columns)
-    after = build(scramble_future(t, cutoff), rows).select(*PAIR, *[F.col(c).alias(f"_{c}") for c in columns])
+def leak_test(t: Tables, build, columns: list[str]) -> DataFrame:
+    """(column, n_changed): how many values of a feature change, over all households and campaigns, when the days from the campaign's start on are scrambled. build: (tables, rows) -> features.
+
+    Each campaign has a world of its own, in which later lines and redemptions belong to other households; households are
+    numbered anew in each world, so all worlds are built as one.
+    """
+    worlds = t.campaigns.select(F.col("campaign").alias("_world"), F.col("start_day").alias("_cutoff"), F.row_number().over(Window.orderBy("campaign")).cast("long").alias("_place"))  # a row a campaign
+    n = t.campaigns.count()
+    coded = F.col("household_key") * (n + 1) + F.col("_place")
+    households = t.transactions.select("household_key").distinct()
+    part = F.pmod(F.xxhash64("household_key"), F.lit(64))
+    order = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("household_key", F.lit(5)), "household_key"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("household_key"))
+    both = households.withColumn("part", part).withColumn("a", order).withColumn("b", place)
+    swap = both.select("part", "household_key", "a").join(both.select("part", F.col("household_key").alias("_to"), F.col("b").alias("a")), ["part", "a"]).select("household_key", "_to")
+
+    def everywhere(df: DataFrame, moves: bool) -> DataFrame:
+        x = df.join(swap, "household_key", "left") if moves else df.withColumn("_to", F.col("household_key"))
+        x = x.crossJoin(F.broadcast(worlds))  # worlds: the checked campaign table
+        if moves:
+            x = x.withColumn("household_key", F.when(F.col("day") >= F.col("_cutoff"), F.coalesce("_to", "household_key")).otherwise(F.col("household_key")))
+        return x.withColumn("household_key", coded).select(*df.columns)
+
+    others = t.with_(transactions=everywhere(t.transactions, True), redemptions=everywhere(t.redemptions, True), mailings=everywhere(t.mailings, False), demographics=everywhere(t.demographics, False))
+    rows = households.crossJoin(F.broadcast(worlds)).select("household_key", F.col("_world").alias("campaign"), F.col("_cutoff").alias("cutoff_day"), coded.alias("_coded"))
+    before = build(t, rows.drop("_coded")).select(*PAIR, *columns)
+    after = build(others, rows.select(F.col("_coded").alias("household_key"), "campaign", "cutoff_day"))
+    after = after.select(F.floor(F.col("household_key") / (n + 1)).alias("household_key"), "campaign", *[F.col(c).alias(f"_{c}") for c in columns])
     row = before.join(after, PAIR).agg(*[F.count_if(~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(f"n_{c}") for c in columns])
     return _stacked(row, columns, ["n"], "`column`, n_changed")
 

@@ -36,6 +36,18 @@ def ranked(g: DataFrame, by: list[str]) -> DataFrame:
     return g.select("*", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("pos_above"), F.sum("n").over(every).alias("n_all"), F.sum("pos").over(every).alias("pos_all"))
 
 
+def ranked_by_ranges(g: DataFrame, by: list[str]) -> DataFrame:
+    """ranked() for groups of any size: each group's values are cut into RANGES of about equal size, whose sums are carried over."""
+    cuts = g.groupBy(*by).agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
+    g = g.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda e: e < F.col("s")))).drop("_cuts")
+    before, every = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    sums = g.groupBy(*by, "_range").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))  # at most RANGES rows a group
+    carried = sums.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_cn"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_cp"), F.sum("_n").over(every).alias("n_all"), F.sum("_p").over(every).alias("pos_all"))
+    above = Window.partitionBy(*by, "_range").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    x = g.join(carried, [*by, "_range"])
+    return x.withColumns({"n_above": F.coalesce(F.sum("n").over(above), F.lit(0)) + F.col("_cn"), "pos_above": F.coalesce(F.sum("pos").over(above), F.lit(0)) + F.col("_cp")})
+
+
 def _depth(n: Column, share) -> Column:
     return F.greatest(F.lit(1.0), F.bround(n * share))
 
@@ -147,34 +159,68 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return joined.groupBy(*by).agg(F.corr("rank_a", "rank_b").alias("rho"))
 
 
-# Uplift
+def rank_correlation_of_counts(g: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """Spearman's correlation in each group, from rows of two values and how often they stand together (n)."""
 
+    def ranks(c: str) -> DataFrame:
+        sums = g.groupBy(*by, c).agg(F.sum("n").alias("_m"))
+        before = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(*by, c, (F.coalesce(F.sum("_m").over(before), F.lit(0)) + (F.col("_m") + 1) / 2).alias(f"_r_{c}"))
 
-def qini_points(df: DataFrame, score: str, label: str, treatment: str, by: list[str]) -> DataFrame:
-    """At each distinct score: rows and treated so far, and treated positives minus control positives scaled to the treated."""
-    t, y = F.col(treatment).cast("long"), F.col(label).cast("long")
-    g = df.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("nt"), F.sum(t * y).alias("yt"), F.sum((1 - t) * y).alias("yc"))
-    so_far = Window.partitionBy(*by).orderBy(F.desc("s"))
-    c = g.select(*by, "s", *[F.sum(x).over(so_far).alias(f"c_{x}") for x in ("n", "nt", "yt", "yc")])
-    control = F.col("c_n") - F.col("c_nt")
-    return c.withColumn("gain", F.col("c_yt") - F.when(control > 0, F.col("c_yc") * F.col("c_nt") / control).otherwise(0))
+    x = g.join(ranks(a), [*by, a]).join(ranks(b), [*by, b])
+    r, s, n = F.col(f"_r_{a}"), F.col(f"_r_{b}"), F.sum("n")
+    mean = lambda c: F.sum(F.col("n") * c) / n
+    cov, va, vb = mean(r * s) - mean(r) * mean(s), mean(r * r) - mean(r) * mean(r), mean(s * s) - mean(s) * mean(s)
+    return x.groupBy(*by).agg(F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("rho"))
 
 
-def qini(df: DataFrame, score: str, label: str, treatment: str, by: list[str]) -> DataFrame:
-    """Area between the Qini curve and the straight line to its end, over the share of rows, for each group: qini and treated."""
-    p = qini_points(df, score, label, treatment, by)
-    order = Window.partitionBy(*by).orderBy("c_n")
-    end = Window.partitionBy(*by)
-    p = p.withColumn("n_all", F.max("c_n").over(end)).withColumn("last", F.max_by("gain", "c_n").over(end)).withColumn("treated", F.max("c_nt").over(end))
-    step = (F.col("c_n") - F.coalesce(F.lag("c_n").over(order), F.lit(0))) / F.col("n_all")
-    height = (F.col("gain") + F.coalesce(F.lag("gain").over(order), F.lit(0.0))) / 2
-    p = p.withColumn("slice", step * height)
-    return p.groupBy(*by).agg((F.sum("slice") - F.max("last") / 2).alias("qini"), F.max("treated").alias("treated"))
+# Uplift
+
+
+def _arms(df: DataFrame, score: str, label: str, treatment: str, by: list[str], weight: str | None = None) -> DataFrame:
+    """One row a distinct score: rows n, gain (treated positives less control positives scaled by treated / control of the whole group), those before it, and of the group n_all, treated and control.
 
+    Sums are of the weight, rows count as rows. A group without one of the arms has no gain anywhere.
+    """
+    t, y, w = F.col(treatment).cast("double"), F.col(label).cast("double"), F.col(weight).cast("double") if weight else F.lit(1.0)
+    g = df.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(w * t).alias("wt"), F.sum(w * (1 - t)).alias("wc"), F.sum(w * t * y).alias("yt"), F.sum(w * (1 - t) * y).alias("yc"))
+    every, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    both = g.select(*by, "s", "n", "yt", "yc", F.sum("n").over(every).alias("n_all"), F.sum("wt").over(every).alias("treated"), F.sum("wc").over(every).alias("control"))
+    gain = F.when((F.col("treated") > 0) & (F.col("control") > 0), F.col("yt") - F.col("yc") * F.col("treated") / F.col("control")).otherwise(0.0)
+    both = both.withColumn("gain", gain)
+    return both.withColumns({"n_above": F.coalesce(F.sum("n").over(before), F.lit(0)), "gain_above": F.coalesce(F.sum("gain").over(before), F.lit(0.0))})
 
-def stratified_qini(df: DataFrame, score: str, label: str, treatment: str, by: str = "campaign") -> DataFrame:
-    """The groups' areas summed, for each treated row."""
-    return qini(df, score, label, treatment, [by]).agg((F.sum("qini") / F.sum("treated")).alias("qini"))
+
+def qini(df: DataFrame, score: str, label: str, treatment: str, by: list[str]) -> DataFrame:
+    """Area between each group's Qini curve, over shares of rows from the first row on, and the straight line to its end: qini and treated.
+
+    Tied rows stand in all orders, so the curve is straight through them; areas are sums over the ties.
+    """
+    g = _arms(df, score, label, treatment, by)
+    n, curve = F.col("n_all"), F.sum(F.col("n") * F.col("gain_above") + F.col("gain") * (F.col("n") + 1) / 2)
+    first = F.max_by(F.col("gain") / F.col("n"), F.col("s"))
+    sums = g.groupBy(*by, "n_all", "treated").agg(curve.alias("curve"), F.sum("gain").alias("end"), first.alias("first"))
+    area = (F.col("curve") - F.col("end") * (n + 1) / 2 - (F.col("first") - F.col("end") / n) / 2) / n
+    return sums.select(*by, area.alias("qini"), F.col("treated").cast("long").alias("treated"))
+
+
+def stratified_qini(df: DataFrame, score: str, label: str, treatment: str, by: str = "campaign", weighted: bool = False, grid: int = 100) -> DataFrame:
+    """Each group's gains at grid + 1 even depths, added over groups; the area over the straight line, for each treated row.
+
+    weighted: rows in_overlap only, with ipw_weight. Groups without one of the arms are left out.
+    """
+    data = df.where("in_overlap") if weighted else df
+    g = _arms(data, score, label, treatment, [by], "ipw_weight" if weighted else None).where("treated > 0 and control > 0")
+    # depth i is the row number ceil(i / grid * n_all); it lies in these rows if it is over n_above and at most n_above + n
+    depth = lambda rows: F.expr(f"{grid} * ({rows}) div n_all")
+    inside = F.when(depth("n_above + n") > depth("n_above"), F.sequence(depth("n_above") + 1, depth("n_above + n")))
+    at = g.select("gain_above", "gain", "n", "n_above", "n_all", F.explode(inside).alias("i"))
+    row = F.ceil(F.col("i") * F.col("n_all") / grid)
+    curve = at.groupBy("i").agg(F.sum(F.col("gain_above") + F.col("gain") * (row - F.col("n_above")) / F.col("n")).alias("gain"))
+    # the area over the line to the end, at even steps with nothing at both ends, is the mean of what is between
+    area = curve.agg(((F.sum(F.when(F.col("i") < grid, F.col("gain"))) - F.max(F.when(F.col("i") == grid, F.col("gain"))) * (grid - 1) / 2) / grid).alias("area"))
+    treated = g.groupBy(by).agg(F.first("treated").alias("treated")).agg(F.sum("treated").alias("treated"))
+    return area.crossJoin(treated).select((F.col("area") / F.col("treated")).alias("qini"))  # one row each
 
 
 def uplift_in(df: DataFrame, by: list[str], label: str, treatment: str) -> DataFrame:
@@ -190,32 +236,35 @@ def uplift_extremes(df: DataFrame, score: str, label: str, treatment: str) -> Da
 
 
 def balance(df: DataFrame, covariates: list[str], weight: str, treatment: str, least_treated: int = 20) -> DataFrame:
-    """(covariate, smd): the weighted difference of means in pooled standard deviations, averaged over campaigns with enough treated rows."""
+    """(covariate, smd): the size of the weighted difference of means in pooled standard deviations (0 where nothing varies), averaged over campaigns with enough treated rows and any control."""
     stacked = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in covariates)
     x = df.selectExpr("campaign", f"{treatment} AS t", f"{weight} AS w", f"stack({len(covariates)}, {stacked}) AS (covariate, x)")
     t = F.col("t") == 1
     mean = lambda c: F.sum(F.when(c, F.col("w") * F.col("x"))) / F.sum(F.when(c, F.col("w")))
-    g = x.groupBy("campaign", "covariate").agg(F.count_if(t).alias("n"), mean(t).alias("m1"), mean(~t).alias("m0"), F.var_samp(F.when(t, F.col("x"))).alias("v1"), F.var_samp(F.when(~t, F.col("x"))).alias("v0"))
+    g = x.groupBy("campaign", "covariate").agg(F.count_if(t).alias("n"), F.count_if(~t).alias("n0"), mean(t).alias("m1"), mean(~t).alias("m0"), F.var_samp(F.when(t, F.col("x"))).alias("v1"), F.var_samp(F.when(~t, F.col("x"))).alias("v0"))
     sd = F.sqrt((F.col("v1") + F.col("v0")) / 2)
-    return g.where(F.col("n") >= least_treated).withColumn("d", F.when(sd > 0, (F.col("m1") - F.col("m0")) / sd)).groupBy("covariate").agg(F.avg("d").alias("smd"))
+    gap = F.when(sd > 0, F.abs(F.col("m1") - F.col("m0")) / sd).otherwise(0.0)
+    return g.where((F.col("n") >= least_treated) & (F.col("n0") > 0)).groupBy("covariate").agg(F.avg(gap).alias("smd"))
 
 
 def ipw(df: DataFrame, propensity: str, treatment: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """df with ipw_weight (treated 1, control p / (1 - p)) and in_overlap."""
+    """df with ipw_weight (1 / p of treated rows, 1 / (1 - p) of others) and in_overlap."""
     p = F.col(propensity)
-    return df.withColumn("ipw_weight", F.when(F.col(treatment) == 1, F.lit(1.0)).otherwise(p / (1 - p))).withColumn("in_overlap", p.between(low, high))
+    return df.withColumn("ipw_weight", F.when(F.col(treatment) == 1, 1 / p).otherwise(1 / (1 - p))).withColumn("in_overlap", p.between(low, high))
 
 
-def e_value(ratio: Column) -> Column:
-    r = F.greatest(ratio, 1 / ratio)
-    return r + F.sqrt(r * (r - 1))
+def e_value(treated_rate: Column, control_rate: Column) -> Column:
+    """How strongly something unmeasured would have to go with both treatment and outcome to explain the ratio; null without a ratio or a difference."""
+    r = F.greatest(treated_rate / control_rate, control_rate / treated_rate)
+    same = F.abs(treated_rate - control_rate) <= 1e-8 + 1e-5 * F.abs(control_rate)
+    return F.when((treated_rate > 0) & (control_rate > 0) & ~same, r + F.sqrt(r * (r - 1)))
 
 
-def att_check(df: DataFrame, score: str, label: str, treatment: str) -> DataFrame:
-    """Mean predicted uplift of treated overlap rows beside the weighted difference of rates, and the E-value of their ratio."""
-    t, y, w = F.col(treatment) == 1, F.col(label).cast("double"), F.col("ipw_weight")
+def att_check(df: DataFrame, score: str, label: str, treatment: str, propensity: str = "propensity") -> DataFrame:
+    """Mean predicted uplift of treated overlap rows beside the difference of rates, controls weighted by the odds of treatment, and the E-value of their ratio."""
+    t, y, w = F.col(treatment) == 1, F.col(label).cast("double"), F.col(propensity) / (1 - F.col(propensity))
     g = df.where("in_overlap").agg(F.avg(F.when(t, F.col(score))).alias("predicted"), F.avg(F.when(t, y)).alias("treated_rate"), (F.sum(F.when(~t, w * y)) / F.sum(F.when(~t, w))).alias("control_rate"))
-    return g.withColumn("att", F.col("treated_rate") - F.col("control_rate")).withColumn("e_value", e_value(F.col("treated_rate") / F.col("control_rate")))
+    return g.withColumn("att", F.col("treated_rate") - F.col("control_rate")).withColumn("e_value", e_value(F.col("treated_rate"), F.col("control_rate")))
 
 
 def forecast_range(per_campaign: DataFrame, z: float = 1.96, gap: int = 7) -> DataFrame:
@@ -249,22 +298,80 @@ def contract(predictions: DataFrame) -> DataFrame:
     return row.crossJoin(repeated).crossJoin(chosen).selectExpr("stack(3, 'blank', blank, 'repeated', repeated, 'not_one_choice', not_one_choice) AS (`check`, n_bad)")
 
 
-# Resampling
+# Resampling and comparisons of two scores
 
 
-def resampled(df: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
-    """df repeated for `reps` draws of whole clusters with replacement: column rep, and multiplicity, Poisson(1) drawn from a hash of (seed, rep, cluster), so that it needs no shuffle."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", F.col(cluster)), F.lit(1 << 40)) / (1 << 40)
+def resampled(df: DataFrame, cluster: list[str], reps: int, seed: int) -> DataFrame:
+    """df repeated for `reps` draws of whole clusters with replacement: column rep, and multiplicity, Poisson(1) drawn from a digest of (seed, rep, cluster), so that it needs no shuffle."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), *[F.col(c).cast("string") for c in cluster]))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / (1 << 32)
     # Cumulative Poisson(1) probabilities.
     cumulative = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
     times = sum((F.when(u >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("multiplicity", times).where("multiplicity > 0")
 
 
-def bootstrap_capture(df: DataFrame, a: str, b: str, label: str, cluster: str = "household_key", reps: int = 50, seed: int = 1, share: float = 0.2) -> DataFrame:
-    """Capture in each campaign's top share by two scores over draws of whole households: 95% intervals of both and of the gap, and the verdict on the gap."""
-    draws = resampled(df, cluster, reps, seed).select("rep", "campaign", label, a, b, F.explode(F.sequence(F.lit(1), F.col("multiplicity"))).alias("_copy"))
-    one = lambda score: _groups(draws, score, label, ["rep", "campaign"]).groupBy("rep").agg((F.sum(_caught(_depth(F.col("n_all"), share))) / F.sum("pos")).alias(f"capture_{score}"))
-    both = one(a).join(one(b), "rep").withColumn("gap", F.col(f"capture_{a}") - F.col(f"capture_{b}"))
+MEASURES = ("capture", "capture_avg", "auc")
+
+
+def measured(df: DataFrame, scores: list[str], label: str, by: list[str], within: list[str], weight: str | None = None, share: float = 0.2) -> DataFrame:
+    """(by, ranking, MEASURES) of each score: positives caught in the top share, and on average over SHARES, of each group of `within`, and AUC within it, averaged by rows. weight: how often a row counts."""
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    stacked = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in scores)
+    x = df.select(*by, *within, w.alias("_w"), F.col(label).cast("long").alias("_y"), F.expr(f"stack({len(scores)}, {stacked}) AS (ranking, s)"))
+    keys = [*by, "ranking", *within]
+    g = ranked(x.groupBy(*keys, "s").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_y")).alias("pos")), keys)
+    below = F.col("n_all") - F.col("n_above") - F.col("n") - (F.col("pos_all") - F.col("pos_above") - F.col("pos"))
+    caught = [F.sum(_caught(_depth(F.col("n_all"), a))).alias(f"_c{i}") for i, a in enumerate((share, *SHARES))]
+    each = g.groupBy(*keys).agg(*caught, F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum(F.col("pos") * (2 * below + F.col("n") - F.col("pos"))).alias("wins2"))
+    known = (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
+    auc_ = F.when(known, F.col("wins2") / (2 * F.col("pos") * (F.col("n") - F.col("pos"))))
+    mean_capture = sum((F.sum(f"_c{i + 1}") for i in range(len(SHARES))), F.lit(0.0)) / (len(SHARES) * F.sum("pos"))
+    return each.groupBy(*by, "ranking").agg((F.sum("_c0") / F.sum("pos")).alias("capture"), mean_capture.alias("capture_avg"), (F.sum(auc_ * F.col("n")) / F.sum(F.when(known, F.col("n")))).alias("auc"))
+
+
+def gaps(df: DataFrame, a: str, b: str, label: str, by: list[str], weight: str | None = None) -> DataFrame:
+    """(by, MEASURES) of score a less those of score b, within campaigns."""
+    sign = F.when(F.col("ranking") == a, 1).otherwise(-1)
+    out = measured(df, [a, b], label, by, ["campaign"], weight)
+    return out.groupBy(*by).agg(*[F.sum(sign * F.col(c)).alias(c) for c in MEASURES])
+
+
+def measure_gaps(df: DataFrame, a: str, b: str, label: str, reps: int = 300, seed: int = 3) -> DataFrame:
+    """(measure, gap, spread, gap_over_spread, low, high): score a less score b, and the spread and 95% range of that over draws of whole households."""
+    point = gaps(df, a, b, label, [])
+    draws = gaps(resampled(df, ["household_key"], reps, seed), a, b, label, ["rep"], "multiplicity")
+    spread = draws.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in MEASURES for n, f in (("sd", F.stddev_pop), ("low", lambda x: F.percentile(x, 0.025)), ("high", lambda x: F.percentile(x, 0.975)))])  # a row a draw
+    rows = ", ".join(f"'{c}', {c}, {c}_sd, {c} / {c}_sd, {c}_low, {c}_high" for c in MEASURES)
+    return point.crossJoin(spread).selectExpr(f"stack({len(MEASURES)}, {rows}) AS (measure, gap, spread, gap_over_spread, low, high)")
+
+
+def paired_gap(df: DataFrame, a: str, b: str, label: str, reps: int = 200, seed: int = 7) -> DataFrame:
+    """One row: gaps of score a over score b in AUC and capture with 95% ranges, campaigns with a better AUC by a, and the AUC gap of the earlier and the later half of the campaigns (by start_day)."""
+    low_high = [F.percentile(c, q).alias(f"{c}_{n}") for c in ("auc", "capture") for q, n in ((0.025, "low"), (0.975, "high"))]
+    draws = gaps(resampled(df, ["household_key"], reps, seed), a, b, label, ["rep"], "multiplicity").agg(*low_high)
+    point = gaps(df, a, b, label, []).select(F.col("auc").alias("auc_gap"), F.col("capture").alias("capture_gap"))
+    better = auc(df, a, label, ["campaign"]).select("campaign", F.col("auc").alias("_a")).join(auc(df, b, label, ["campaign"]).select("campaign", F.col("auc").alias("_b")), "campaign")
+    counts = better.agg(F.count_if(F.col("_a") > F.col("_b")).alias("campaigns_better"), F.count("_a").alias("campaigns"))
+    order = df.groupBy("campaign").agg(F.min("start_day").alias("_start")).withColumn("_place", F.row_number().over(Window.orderBy("_start", "campaign")))  # a row a campaign
+    half = order.crossJoin(order.agg(F.count(F.lit(1)).alias("_n"))).select("campaign", F.when(F.col("_place") <= F.floor(F.col("_n") / 2) + 1, "early").otherwise("late").alias("half"))
+    halves = gaps(df.join(F.broadcast(half), "campaign"), a, b, label, ["half"]).agg(*[F.max(F.when(F.col("half") == h, F.col("auc"))).alias(f"auc_gap_{h}") for h in ("early", "late")])
+    return point.crossJoin(draws).crossJoin(counts).crossJoin(halves)  # one row each
+
+
+def bootstrap_capture(df: DataFrame, a: str, b: str, label: str, cluster: list[str], reps: int = 50, seed: int = 1) -> DataFrame:
+    """Capture in each campaign's top fifth by two scores over draws of clusters: 95% intervals of both and of the gap, and the verdict on the gap. cluster: household_key for whole households; household_key and campaign for rows within campaigns."""
+    draws = measured(resampled(df, cluster, reps, seed), [a, b], label, ["rep"], ["campaign"], "multiplicity")
+    pick = lambda c: F.max(F.when(F.col("ranking") == c, F.col("capture")))
+    both = draws.groupBy("rep").agg(pick(a).alias(f"capture_{a}"), pick(b).alias(f"capture_{b}")).withColumn("gap", F.col(f"capture_{a}") - F.col(f"capture_{b}"))
     out = both.agg(*[F.percentile(c, q).alias(f"{c}_{n}") for c in (f"capture_{a}", f"capture_{b}", "gap") for q, n in ((0.025, "low"), (0.975, "high"))], F.stddev_pop("gap").alias("gap_sd"))
     return out.withColumn("verdict", F.when(F.col("gap_low") > 0, "pass").when(F.col("gap_high") < 0, "fail").otherwise("inconclusive"))
+
+
+def campaign_bootstrap(df: DataFrame, predicted: str, benchmark: str, actual: str, reps: int = 1000, seed: int = 0) -> DataFrame:
+    """Mean absolute error of a prediction less that of a benchmark, its 95% range over draws of whole campaigns, and the share of draws in which it is below zero."""
+    miss = lambda c: F.sum(F.abs(F.col(c) - F.col(actual)))
+    per = df.groupBy("campaign").agg((miss(predicted) - miss(benchmark)).alias("more"), F.count(F.lit(1)).alias("n"))
+    mean = F.sum(F.col("multiplicity") * F.col("more")) / F.sum(F.col("multiplicity") * F.col("n"))
+    draws = resampled(per, ["campaign"], reps, seed).groupBy("rep").agg(mean.alias("d")).agg(F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high"), F.avg((F.col("d") < 0).cast("double")).alias("share_better"))
+    return per.agg((F.sum("more") / F.sum("n")).alias("diff")).crossJoin(draws)  # one row each

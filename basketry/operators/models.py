@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Lin
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+EXCHANGE_PARTS = 64
 FOREST = {"numTrees": 60, "maxDepth": 6, "minInstancesPerNode": 20, "seed": 42}
 
 
@@ -159,15 +161,18 @@ def entropy_weights(df: DataFrame, columns: list[str], treatment: str, rounds: i
     return None
 
 
-def forward_predict(table: DataFrame, folds: list[tuple[int, list[int]]], candidates: dict, label: str) -> DataFrame:
-    """Long predictions: every candidate, (train) -> Scorer, on every fold (test campaign, training campaigns). Folds with the same training campaigns share one fit."""
-    fitted, out = {}, None
+def forward_predict(table: DataFrame, folds: list[tuple[int, list[int]]], candidates: dict, label: str, parallelism: int = 8) -> DataFrame:
+    """Long predictions: every candidate, (train) -> Scorer, on every fold (test campaign, training campaigns).
+
+    Folds with the same training campaigns share one fit; fits are submitted side by side, as small ones leave most of a cluster idle.
+    """
+    tasks = {(name, tuple(sorted(train))): make for _, train in folds for name, make in candidates.items()}
+    with ThreadPoolExecutor(parallelism) as pool:
+        fitted = dict(zip(tasks, pool.map(lambda k: tasks[k](table.where(F.col("campaign").isin(list(k[1])))), tasks), strict=True))
+    out = None
     for test, train in folds:
-        for name, make in candidates.items():
-            key = (name, tuple(sorted(train)))
-            if key not in fitted:
-                fitted[key] = make(table.where(F.col("campaign").isin(train)))
-            rows = fitted[key].score(table.where(F.col("campaign") == test)).select("household_key", "campaign", F.col(label).alias("label"), "score", F.lit(name).alias("candidate_id"))
+        for name in candidates:
+            rows = fitted[name, tuple(sorted(train))].score(table.where(F.col("campaign") == test)).select("household_key", "campaign", F.col(label).alias("label"), "score", F.lit(name).alias("candidate_id"))
             out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -189,14 +194,27 @@ def importances(scorer: Scorer) -> dict[str, float]:
     return dict(zip(scorer.features, (raw / total if total else raw).tolist(), strict=True))
 
 
-def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """df with a column's values exchanged within each campaign."""
+def shuffled_within(df: DataFrame, columns: list[str], seed: int, name: str = "_other") -> DataFrame:
+    """df with a struct of another row's columns: rows of a campaign are dealt to PARTS by a hash, and exchanged within those, so no task orders a whole campaign."""
     from pyspark.sql.window import Window
 
-    a = F.row_number().over(Window.partitionBy("campaign").orderBy("household_key"))
-    b = F.row_number().over(Window.partitionBy("campaign").orderBy(F.xxhash64("household_key", F.lit(seed)), "household_key"))
-    values = df.select(F.col("campaign"), b.alias("_at"), F.col(column).alias("_value"))
-    return df.withColumn("_at", a).join(values, ["campaign", "_at"]).withColumn(column, F.col("_value")).drop("_at", "_value")
+    part = F.pmod(F.xxhash64(F.lit(seed), "household_key"), F.lit(EXCHANGE_PARTS))
+    x = df.withColumn("_part", part)
+    inside = Window.partitionBy("campaign", "_part")
+    a, b = F.row_number().over(inside.orderBy("household_key")), F.row_number().over(inside.orderBy(F.xxhash64("household_key", F.lit(seed + 1)), "household_key"))
+    values = x.select("campaign", "_part", b.alias("_at"), F.struct(*columns).alias(name))
+    return x.withColumn("_at", a).join(values, ["campaign", "_part", "_at"]).drop("_at", "_part")
+
+
+def permutation_importance(scorer: Scorer, df: DataFrame, features: list[str], label: str, seed: int = 1) -> DataFrame:
+    """(feature, capture, drop): capture in each campaign's top fifth when a feature has other households' values, and how much less that is than with its own."""
+    from . import metrics
+
+    x = shuffled_within(df, features, seed).withColumn("feature", F.explode(F.array(F.lit(""), *map(F.lit, features))))
+    x = x.withColumns({c: F.when(F.col("feature") == c, F.col("_other").getField(c)).otherwise(F.col(c)) for c in features}).drop("_other")
+    got = metrics.measured(scorer.score(x), ["score"], label, ["feature"], ["campaign"]).select("feature", "capture")
+    own = got.where("feature = ''").select(F.col("capture").alias("_own"))
+    return got.where("feature <> ''").crossJoin(F.broadcast(own)).select("feature", "capture", (F.col("_own") - F.col("capture")).alias("drop"))  # own: one row
 
 
 def recency_weight(df: DataFrame, last_day: int, half_life: float) -> DataFrame:
@@ -210,3 +228,94 @@ def rank_blend(df: DataFrame, a: str, b: str) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("campaign"))
     rank = lambda c: (F.rank().over(Window.partitionBy("campaign").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("campaign", c)) - 1) / 2) / n
     return df.withColumn("blend", (rank(a) + rank(b)) / 2)
+
+
+def usual_spend() -> Column:
+    """What a household usually spends on a campaign's products in as many days as the campaign lasts."""
+    return F.col("campaign_product_spend_per_week_26w") * F.col("duration_days") / 7
+
+
+def median_totals(df: DataFrame, x: str, y: str) -> tuple[float, float, float]:
+    """median_line, and the factor that makes its total the actual one (1 where it predicts nothing)."""
+    slope, intercept = median_line(df, x, y)
+    predicted, actual = scored_line(df, x, slope, intercept, "_p").agg(F.sum("_p"), F.sum(y)).first()
+    return slope, intercept, float(actual) / predicted if predicted else 1.0
+
+
+def spend_if_redeem(rows: DataFrame, fitted_on: DataFrame, slope: float, intercept: float) -> DataFrame:
+    """rows with spend_if_redeem, the line on usual_spend; null in campaigns that fitted_on lacks."""
+    covered = fitted_on.select("campaign").distinct().withColumn("_covered", F.lit(True))
+    x = scored_line(rows.withColumn("_x", usual_spend()), "_x", slope, intercept, "_p").join(F.broadcast(covered), "campaign", "left")  # campaigns: at most the checked table's
+    return x.withColumn("spend_if_redeem", F.when(F.col("_covered"), F.col("_p"))).drop("_x", "_p", "_covered")
+
+
+def splines(df: DataFrame, features: list[str], knots: int = 4) -> tuple[list[str], callable]:
+    """Names of a cubic spline basis of each column, and a function that adds it: powers, and cubes beyond the knots inside the range of df."""
+    ends = df.agg(*[f(signed_log(c)).alias(f"{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    made: dict[str, Column] = {}
+    for c in features:
+        low, span = ends[f"lo_{c}"] or 0.0, ((ends[f"hi_{c}"] or 0.0) - (ends[f"lo_{c}"] or 0.0)) or 1.0
+        x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (signed_log(c) - low) / span))
+        made |= {f"{c}_p{k}": F.pow(x, F.lit(k)) for k in (1, 2, 3)}
+        made |= {f"{c}_k{i}": F.pow(F.greatest(x - i / (knots - 1), F.lit(0.0)), F.lit(3)) for i in range(1, knots - 1)}
+    return list(made), lambda d: d.withColumns(made)
+
+
+def spline_logistic(train: DataFrame, test: DataFrame, features: list[str], label: str, penalty: float = 0.001) -> DataFrame:
+    """test with score: a logistic regression on a smooth curve for each column."""
+    names, add = splines(train, features)
+    return logistic(add(train), names, label, penalty).score(add(test)).drop(*names)
+
+
+def by_type(train: DataFrame, test: DataFrame, make) -> DataFrame:
+    """test with score: one model for type A campaigns, one for the others. make: (train) -> Scorer."""
+    a = F.col("campaign_type") == "A"
+    return make(train.where(a)).score(test.where(a)).unionByName(make(train.where(~a)).score(test.where(~a)))
+
+
+def recent_only(folds: DataFrame, campaigns: DataFrame, n: int = 6) -> DataFrame:
+    """(test_campaign, train_campaign) of each fold's n training campaigns that ended last."""
+    from pyspark.sql.window import Window
+
+    ended = folds.join(F.broadcast(campaigns.select(F.col("campaign").alias("train_campaign"), "end_day")), "train_campaign")  # pairs of campaigns
+    place = F.row_number().over(Window.partitionBy("test_campaign").orderBy(F.desc("end_day"), F.desc("train_campaign")))
+    return ended.withColumn("_place", place).where(F.col("_place") <= n).select("test_campaign", "train_campaign")
+
+
+def type_interactions(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each column's value in type A campaigns alone, 0 elsewhere: <column>_x_type_a."""
+    return df.withColumns({f"{c}_x_type_a": F.when(F.col("campaign_type") == "A", F.col(c)).otherwise(F.lit(0)) for c in columns})
+
+
+def single_feature_rank(train: DataFrame, test: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(feature, direction, capture) of ranking each campaign of test by one column, in the direction of its rank correlation with the label in train."""
+    from . import metrics
+
+    rho = signal_rank_corr(train, features, label).select(F.col("column").alias("ranking"), F.when(F.coalesce("rho", F.lit(0.0)) >= 0, "higher").otherwise("lower").alias("direction"))
+    both = test.withColumns({f"_less_{c}": -F.col(c).cast("double") for c in features})
+    got = metrics.measured(both, [*features, *[f"_less_{c}" for c in features]], label, [], ["campaign"]).select("ranking", "capture")
+    named = rho.withColumn("_key", F.when(F.col("direction") == "higher", F.col("ranking")).otherwise(F.concat(F.lit("_less_"), F.col("ranking"))))
+    return named.join(got.withColumnRenamed("ranking", "_key"), "_key").select(F.col("ranking").alias("feature"), "direction", "capture")
+
+
+def signal_rank_corr(df: DataFrame, columns: list[str], outcome: str) -> DataFrame:
+    """(column, rho): Spearman's correlation of each column with an outcome, over rows where both are known."""
+    from . import metrics
+
+    stacked = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in columns)
+    x = df.select(F.col(outcome).cast("double").alias("y"), F.expr(f"stack({len(columns)}, {stacked}) AS (column, x)")).where("x is not null and y is not null")
+    # one row a pair of values first, so that ranks are those of values
+    return metrics.rank_correlation_of_counts(x.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n")), "x", "y", ["column"])
+
+
+def ablation(train: DataFrame, test: DataFrame, groups: dict[str, list[str]], make, label: str) -> DataFrame:
+    """(dropped, capture, change) of models without each group of features, and with all of them (dropped: none). make: (train, features) -> Scorer."""
+    from . import metrics
+
+    every, out = [c for g in groups.values() for c in g], None
+    for name, gone in {"none": [], **groups}.items():
+        rows = make(train, [c for c in every if c not in gone]).score(test)
+        got = metrics.capture(rows, "score", label, by=["campaign"]).select(F.lit(name).alias("dropped"), "capture")
+        out = got if out is None else out.unionByName(got)
+    whole = out.where("dropped = 'none'").select(F.col("capture").alias("_all"))
+    return out.crossJoin(F.broadcast(whole)).select("dropped", "capture", (F.col("capture") - F.col("_all")).alias("change"))  # a row a group

@@ -51,7 +51,7 @@ register("unusual_moves", on(lambda x: a.unusual_moves(x.groupBy("campaign", "st
     avg(spend) - lag(avg(spend)) OVER (ORDER BY start_day) AS move, row_number() OVER (ORDER BY start_day) - 1 AS place FROM scored GROUP BY campaign, start_day)) WHERE place >= 4 AND abs(move) > usual AND abs(move) > 0.1 * abs(before)""", rounded="value before move usual", **A)
 _FIFTHS = "SELECT *, floor((row_number() OVER (PARTITION BY campaign ORDER BY usual_spend, household_key) - 1) * 5 / count(*) OVER (PARTITION BY campaign))::BIGINT AS fifth FROM scored"
 register("same_habit_auc", on(lambda x: a.same_habit_auc(x, "score", "label", "usual_spend")), """SELECT sum(auc * pos) / sum(pos) AS auc FROM (SELECT sum(pos) AS pos, sum(pos * (2 * below + n - pos))::DOUBLE / (2 * sum(pos) * (sum(n) - sum(pos))) AS auc FROM (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY campaign, fifth ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-    FROM (SELECT campaign, fifth, score AS s, count(*) AS n, sum(label) AS pos FROM fifths GROUP BY ALL)) GROUP BY campaign, fifth HAVING sum(pos) > 0 AND sum(pos) < sum(n))""", rounded="auc", **A, fifths=_FIFTHS)
+    FROM (SELECT campaign, fifth, score AS s, count(*) AS n, sum(label) AS pos FROM fifths GROUP BY ALL)) GROUP BY campaign, fifth HAVING sum(pos) > 0 AND sum(pos) < sum(n) AND min(s) < max(s))""", rounded="auc", **A, fifths=_FIFTHS)
 _ONE = "SELECT '{0}' AS \"column\", greatest(auc, 1 - auc) AS auc FROM (SELECT sum(pos * (2 * below + n - pos))::DOUBLE / (2 * sum(pos) * (sum(n) - sum(pos))) AS auc FROM (SELECT *, coalesce(sum(n - pos) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT {0} AS s, count(*) AS n, sum(label) AS pos FROM scored GROUP BY ALL)))"
 register("signal_screen", on(lambda x: a.signal_screen(x, ["score", "score_b", "usual_spend"], "label")), " UNION ALL ".join(_ONE.format(c) for c in ("score", "score_b", "usual_spend")), rounded="auc", **A)
 register("signal_auc", on(lambda x: a.signal_screen(x, ["score", "usual_spend"], "redeemed")), " UNION ALL ".join(_ONE.replace("sum(label)", "sum(redeemed)").format(c) for c in ("score", "usual_spend")), rounded="auc", **A)

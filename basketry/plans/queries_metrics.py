@@ -57,25 +57,36 @@ register("spend_errors", on(lambda d: m.errors(d.where("redeemed = 1"), "usual_s
 register("total_ratio_check", on(lambda d: m.errors(d.where("redeemed = 1"), "usual_spend", "spend").select("total_ratio", F.col("total_ratio").between(0.85, 1.15).alias("within_15"))), "SELECT r AS total_ratio, r BETWEEN 0.85 AND 1.15 AS within_15 FROM (SELECT sum(usual_spend) / sum(spend) AS r FROM scored WHERE redeemed = 1)", rounded="total_ratio", **M)
 _AVG_RANK = "SELECT *, rank() OVER (PARTITION BY campaign ORDER BY {0}) + (count(*) OVER (PARTITION BY campaign, {0}) - 1) / 2.0::DOUBLE AS rank_{0} FROM {1}"
 register("rank_rho", on(lambda d: m.rank_correlation(d, "score", "spend", ["campaign"])), "SELECT campaign, corr(rank_score, rank_spend) AS rho FROM both_ranks GROUP BY campaign", rounded="rho", **M, one_rank=_AVG_RANK.format("score", "scored"), both_ranks=_AVG_RANK.format("spend", "one_rank"))
-QINI = {
-    **M,
-    "points": """SELECT campaign, s, sum(n) OVER w AS c_n, sum(nt) OVER w AS c_nt, sum(yt) OVER w AS c_yt, sum(yc) OVER w AS c_yc FROM (SELECT campaign, score AS s, count(*) AS n, sum(treatment) AS nt, sum(treatment * label) AS yt, sum((1 - treatment) * label) AS yc FROM scored GROUP BY ALL)
-        WINDOW w AS (PARTITION BY campaign ORDER BY s DESC ROWS UNBOUNDED PRECEDING)""",
-    "gains": "SELECT *, c_yt - CASE WHEN c_n > c_nt THEN c_yc::DOUBLE * c_nt / (c_n - c_nt) ELSE 0 END AS gain FROM points",
-    "slices": """SELECT campaign, (c_n - coalesce(lag(c_n) OVER w, 0))::DOUBLE / max(c_n) OVER (PARTITION BY campaign) * (gain + coalesce(lag(gain) OVER w, 0)) / 2 AS slice, arg_max(gain, c_n) OVER (PARTITION BY campaign) AS last, max(c_nt) OVER (PARTITION BY campaign) AS treated FROM gains WINDOW w AS (PARTITION BY campaign ORDER BY c_n)""",
-    "areas": "SELECT campaign, sum(slice) - max(last) / 2 AS qini, max(treated)::BIGINT AS treated FROM slices GROUP BY campaign",
-}
-register("campaign_qini", on(lambda d: m.qini(d, "score", "label", "treatment", ["campaign"])), "SELECT * FROM areas", rounded="qini", **QINI)
-register("stratified_qini", on(lambda d: m.stratified_qini(d, "score", "label", "treatment")), "SELECT sum(qini) / sum(treated) AS qini FROM areas", rounded="qini", **QINI)
-register("pooled_qini", on(lambda d: m.qini(d.withColumn("every", F.lit(0)), "score", "label", "treatment", ["every"]).select("qini", "treated")), "SELECT qini, treated FROM areas", rounded="qini", **{**QINI, "points": QINI["points"].replace("SELECT campaign, score AS s", "SELECT 0 AS campaign, score AS s")})
+# row by row: every row's place, its share of its ties, and the trapezoids between places
+_ARMS = "SELECT {k} AS campaign, score AS s, count(*)::BIGINT AS n, sum({w} * treatment * label)::DOUBLE AS yt, sum({w} * (1 - treatment) * label)::DOUBLE AS yc, sum({w} * treatment)::DOUBLE AS wt, sum({w} * (1 - treatment))::DOUBLE AS wc FROM {f} GROUP BY ALL"
+_CURVE_OF = {
+    "tied": """SELECT *, sum(n) OVER e AS n_all, sum(wt) OVER e AS treated, sum(wc) OVER e AS control, sum(n) OVER o - n AS above, sum(yt) OVER o - yt AS yt_above, sum(yc) OVER o - yc AS yc_above FROM arms
+        WINDOW e AS (PARTITION BY campaign), o AS (PARTITION BY campaign ORDER BY s DESC ROWS UNBOUNDED PRECEDING)""",
+    "lifted": "SELECT *, yt - yc * treated / control AS step, yt_above - yc_above * treated / control AS start FROM tied WHERE treated > 0 AND control > 0",
+}
+_AREA = {
+    "places": "SELECT campaign, n_all, treated, start, step, n, above, unnest(range(above::BIGINT + 1, (above + n)::BIGINT + 1)) AS k FROM lifted",
+    "heights": "SELECT campaign, n_all, treated, k, start + step * (k - above) / n AS q FROM places",
+    "over_line": "SELECT campaign, treated, k, q - k / n_all * max(q) FILTER (WHERE k = n_all) OVER (PARTITION BY campaign) AS g, n_all FROM heights",
+    "areas": "SELECT campaign, coalesce(sum((g + before) / 2 / n_all), 0) AS qini, max(treated)::BIGINT AS treated FROM (SELECT *, lag(g) OVER (PARTITION BY campaign ORDER BY k) AS before FROM over_line) GROUP BY campaign",
+}
+_GRID = {
+    "depths": "SELECT campaign, treated, i, start + step * (ceil(i * n_all / 100::DECIMAL(9, 2)) - above) / n AS q FROM lifted, range(1, 101) t(i) WHERE ceil(i * n_all / 100::DECIMAL(9, 2)) > above AND ceil(i * n_all / 100::DECIMAL(9, 2)) <= above + n",
+    "added": "SELECT i, sum(q) AS q FROM depths GROUP BY i UNION ALL SELECT 0, 0",
+    "grid_area": "SELECT sum((g + before) / 2 * 0.01) AS area FROM (SELECT g, lag(g) OVER (ORDER BY i) AS before FROM (SELECT i, q - i / 100.0::DOUBLE * (SELECT q FROM added WHERE i = 100) AS g FROM added))",
+    "answer": "SELECT area / (SELECT sum(treated) FROM (SELECT DISTINCT campaign, treated FROM lifted)) AS qini FROM grid_area",
+}
+register("campaign_qini", on(lambda d: m.qini(d, "score", "label", "treatment", ["campaign"])), "SELECT * FROM areas", rounded="qini", **M, arms=_ARMS.format(k="campaign", w="1", f="scored"), **_CURVE_OF, **_AREA)
+register("pooled_qini", on(lambda d: m.qini(d.withColumn("every", F.lit(0)), "score", "label", "treatment", ["every"]).select("qini", "treated")), "SELECT qini, treated FROM areas", rounded="qini", **M, arms=_ARMS.format(k="0", w="1", f="scored"), **_CURVE_OF, **_AREA)
+register("stratified_qini", on(lambda d: m.stratified_qini(d, "score", "label", "treatment")), "SELECT * FROM answer", rounded="qini", **M, arms=_ARMS.format(k="campaign", w="1", f="scored"), **_CURVE_OF, **_GRID)
+register("weighted_qini", on(lambda d: m.stratified_qini(m.ipw(d, "propensity", "treatment"), "score", "label", "treatment", weighted=True)), "SELECT * FROM answer", rounded="qini", **M, arms=_ARMS.format(k="campaign", w="ipw_weight", f="(SELECT * FROM weighted WHERE in_overlap)"), **_CURVE_OF, **_GRID)
 _RATES = "count(*)::BIGINT AS n, count(*) FILTER (WHERE treatment = 1)::BIGINT AS n_treated, avg(label) FILTER (WHERE treatment = 1) AS treated_rate, avg(label) FILTER (WHERE treatment <> 1) AS control_rate, avg(label) FILTER (WHERE treatment = 1) - avg(label) FILTER (WHERE treatment <> 1) AS uplift"
 register("uplift_extremes", on(lambda d: m.uplift_extremes(d, "score", "label", "treatment")), f"SELECT bin, {_RATES} FROM binned WHERE bin IN (0, 4) GROUP BY bin", rounded="treated_rate control_rate uplift", **M, binned=_BIN(5))
 register("ipw_overlap", on(lambda d: m.ipw(d, "propensity", "treatment").select("household_key", "campaign", "ipw_weight", "in_overlap")), "SELECT household_key, campaign, ipw_weight, in_overlap FROM weighted", rounded="ipw_weight", **M)
-register("balance", on(lambda d: m.balance(m.ipw(d, "propensity", "treatment"), ["usual_spend", "score_b"], "ipw_weight", "treatment")), """SELECT covariate, avg(d) AS smd FROM (SELECT campaign, covariate, (m1 - m0) / CASE WHEN (v1 + v0) > 0 THEN sqrt((v1 + v0) / 2) END AS d FROM (
-    SELECT campaign, covariate, count(*) FILTER (WHERE treatment = 1) AS n, sum(ipw_weight * x) FILTER (WHERE treatment = 1) / sum(ipw_weight) FILTER (WHERE treatment = 1) AS m1, sum(ipw_weight * x) FILTER (WHERE treatment <> 1) / sum(ipw_weight) FILTER (WHERE treatment <> 1) AS m0,
-    var_samp(x) FILTER (WHERE treatment = 1) AS v1, var_samp(x) FILTER (WHERE treatment <> 1) AS v0 FROM (SELECT *, 'usual_spend' AS covariate, usual_spend AS x FROM weighted UNION ALL SELECT *, 'score_b', score_b FROM weighted) GROUP BY campaign, covariate) WHERE n >= 20) GROUP BY covariate""", rounded="smd", **M)
-register("att_check", on(lambda d: m.att_check(m.ipw(d, "propensity", "treatment"), "score", "label", "treatment")), """SELECT predicted, treated_rate, control_rate, treated_rate - control_rate AS att, greatest(treated_rate / control_rate, control_rate / treated_rate) + sqrt(greatest(treated_rate / control_rate, control_rate / treated_rate) * (greatest(treated_rate / control_rate, control_rate / treated_rate) - 1)) AS e_value
-    FROM (SELECT avg(score) FILTER (WHERE treatment = 1) AS predicted, avg(label) FILTER (WHERE treatment = 1) AS treated_rate, sum(ipw_weight * label) FILTER (WHERE treatment <> 1) / sum(ipw_weight) FILTER (WHERE treatment <> 1) AS control_rate FROM weighted WHERE in_overlap)""", rounded="predicted treated_rate control_rate att e_value", **M)
+_BAL = "SELECT '{c}' AS covariate, campaign, abs(sum({c} * ipw_weight * treatment) / sum(ipw_weight * treatment) - sum({c} * ipw_weight * (1 - treatment)) / sum(ipw_weight * (1 - treatment))) AS apart, var_samp({c}) FILTER (treatment = 1) + var_samp({c}) FILTER (treatment = 0) AS v2 FROM weighted GROUP BY campaign HAVING count_if(treatment = 1) >= 20 AND count_if(treatment = 0) > 0"
+register("balance", on(lambda d: m.balance(m.ipw(d, "propensity", "treatment"), ["usual_spend", "score_b"], "ipw_weight", "treatment")), f"SELECT covariate, avg(if(v2 > 0, apart / sqrt(v2 / 2), 0)) AS smd FROM ({_BAL.format(c='usual_spend')} UNION ALL {_BAL.format(c='score_b')}) GROUP BY covariate", rounded="smd", **M)
+register("att_check", on(lambda d: m.att_check(m.ipw(d, "propensity", "treatment"), "score", "label", "treatment")), """SELECT predicted, t AS treated_rate, c AS control_rate, t - c AS att, if(t > 0 AND c > 0 AND t <> c, r + sqrt(r * r - r), NULL) AS e_value
+    FROM (SELECT *, if(t > c, t / c, c / t) AS r FROM (SELECT avg(score) FILTER (treatment = 1) AS predicted, avg(label) FILTER (treatment = 1) AS t, sum(propensity / (1 - propensity) * label) FILTER (treatment = 0) / sum(propensity / (1 - propensity)) FILTER (treatment = 0) AS c FROM weighted WHERE in_overlap))""", rounded="predicted treated_rate control_rate att e_value", **M)
 register("forecast_range", lambda t: m.forecast_range(m.expected_by_campaign(s.scored(t), "score", "label").join(t.campaigns.select("campaign", "start_day", "end_day"), "campaign")), """SELECT campaign, expected, chance_var, actual, phi, expected - 1.96 * sqrt(chance_var * phi) AS low, expected + 1.96 * sqrt(chance_var * phi) AS high, abs(actual - expected) <= 1.96 * sqrt(chance_var * phi) AS covered
     FROM (SELECT a.campaign, a.expected, a.chance_var, a.actual, greatest(1, coalesce(avg((b.actual - b.expected) * (b.actual - b.expected) / b.chance_var), 1)) AS phi FROM per JOIN campaigns k USING (campaign) JOIN per a USING (campaign) LEFT JOIN (SELECT per.*, end_day FROM per JOIN campaigns USING (campaign)) b ON b.end_day < k.start_day - 7 GROUP BY ALL)""", rounded="expected chance_var phi low high", **M, per=_PER)
 register("newest_campaign", lambda t: m.newest_group(m.auc(s.scored(t), "score", "label", ["campaign"]).where("auc is not null").join(t.campaigns.select("campaign", "start_day"), "campaign").select("campaign", "start_day", "auc"), "auc", "start_day"), f"""SELECT campaign, start_day, auc, mean, sd, abs(auc - mean) <= 2 * sd AS usual FROM (SELECT campaign, start_day, auc, avg(auc) OVER w AS mean, stddev_samp(auc) OVER w AS sd, row_number() OVER (ORDER BY start_day DESC) AS place
@@ -92,7 +103,36 @@ _LONG = "SELECT household_key, campaign, 'a' AS candidate_id, score, household_k
 register("wide_predictions", on(lambda d: m.wide(_long(d), ["household_key", "campaign"], ["a", "b"])), "SELECT household_key, campaign, score AS a, score_b AS b FROM mailed_rows", **M)
 register("contract_checks", on(lambda d: m.contract(_long(d))), """SELECT 'blank' AS "check", count(*) FILTER (WHERE score IS NULL)::BIGINT AS n_bad FROM long UNION ALL SELECT 'repeated', (SELECT count(*) FROM (SELECT 1 FROM long GROUP BY household_key, campaign, candidate_id HAVING count(*) > 1))
     UNION ALL SELECT 'not_one_choice', (SELECT count(*) FROM (SELECT 1 FROM long GROUP BY household_key, campaign HAVING count(*) FILTER (WHERE chosen) <> 1))""", **M, long=_LONG)
-register("cluster_bootstrap", on(lambda d: m.bootstrap_capture(d.where("treatment = 1"), "score", "score_b", "label")))
+
+# draws: multiplicities from the same digests; rankings of drawn rows by sums of multiplicities
+_DRAWN = """SELECT *, list_count(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253], lambda x: u >= x))::BIGINT AS w
+    FROM (SELECT s.*, rep, ('0x' || substr(md5('{seed}|' || rep || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM {rows} s, range(1, {reps} + 1) r(rep))"""
+_KEYS = "'|' || household_key"
+_OF_REPS = {
+    "sides": "SELECT rep, campaign, w, label, 'a' AS side, score AS s FROM drawn WHERE w > 0 UNION ALL SELECT rep, campaign, w, label, 'b', score_b FROM drawn WHERE w > 0",
+    "steps": """SELECT *, sum(n) OVER o - n AS n_above, sum(pos) OVER o - pos AS pos_above, sum(n) OVER e AS n_all, sum(pos) OVER e AS pos_all FROM (SELECT rep, side, campaign, s, sum(w) AS n, sum(w * label) AS pos FROM sides GROUP BY ALL)
+        WINDOW e AS (PARTITION BY rep, side, campaign), o AS (PARTITION BY rep, side, campaign ORDER BY s DESC ROWS UNBOUNDED PRECEDING)""",
+    "areas_of": f"SELECT rep, side, campaign, max(n_all) AS n, if(max(pos_all) > 0 AND max(pos_all) < max(n_all), {_AUC}, NULL) AS auc FROM steps GROUP BY rep, side, campaign",
+    "shares_of": f"SELECT rep, side, share, sum({_caught('share')}) / sum(pos) AS capture FROM steps, (SELECT unnest([{SHARES}]) AS share) GROUP BY rep, side, share",
+    "values_of": """SELECT rep, side, max(capture) FILTER (share = 0.2::DOUBLE) AS capture, avg(capture) AS capture_avg, any_value(auc) AS auc FROM shares_of JOIN (SELECT rep, side, sum(auc * n) FILTER (auc IS NOT NULL) / sum(n) FILTER (auc IS NOT NULL) AS auc FROM areas_of GROUP BY ALL) USING (rep, side) GROUP BY rep, side""",
+    "gaps_of": "SELECT a.rep, a.capture - b.capture AS capture, a.capture_avg - b.capture_avg AS capture_avg, a.auc - b.auc AS auc, a.capture AS ca, b.capture AS cb FROM values_of a JOIN values_of b ON a.rep = b.rep AND a.side = 'a' AND b.side = 'b'",
+}
+# the rows themselves are draw 0, in which each counts once
+_WITH_POINT = lambda seed, reps: f"SELECT * FROM ({_DRAWN.format(seed=seed, reps=reps, key=_KEYS, rows='scored')}) UNION ALL SELECT *, 0 AS rep, 0::DOUBLE AS u, 1 AS w FROM scored"
+_Q = "quantile_cont({0}, 0.025) FILTER (rep > 0) AS {1}, quantile_cont({0}, 0.975) FILTER (rep > 0) AS {2}"
+register("measure_gaps", on(lambda d: m.measure_gaps(d, "score", "score_b", "label", 20, 3)), " UNION ALL ".join(f"SELECT '{c}' AS measure, gap, spread, gap / spread AS gap_over_spread, low, high FROM (SELECT max({c}) FILTER (rep = 0) AS gap, stddev_pop({c}) FILTER (rep > 0) AS spread, {_Q.format(c, 'low', 'high')} FROM gaps_of)" for c in m.MEASURES),
+         rounded="gap spread gap_over_spread low high", **M, drawn=_WITH_POINT(3, 20), **_OF_REPS)
+_HALF = "SELECT campaign, if(row_number() OVER (ORDER BY start_day, campaign) <= (SELECT count(*) FROM campaigns) // 2 + 1, 'early', 'late') AS half FROM campaigns"
+register("paired_gap", on(lambda d: m.paired_gap(d, "score", "score_b", "label", 20, 7)), f"""SELECT max(auc) FILTER (rep = 0) AS auc_gap, max(capture) FILTER (rep = 0) AS capture_gap, {_Q.format('auc', 'auc_low', 'auc_high')}, {_Q.format('capture', 'capture_low', 'capture_high')},
+    (SELECT count_if(a.auc > b.auc) FROM areas_of a JOIN areas_of b USING (rep, campaign) WHERE rep = 0 AND a.side = 'a' AND b.side = 'b')::BIGINT AS campaigns_better, (SELECT count(auc) FROM areas_of WHERE rep = 0 AND side = 'a')::BIGINT AS campaigns,
+    {', '.join(f"(SELECT sum(auc * n) FILTER (side = 'a') / sum(n) FILTER (side = 'a') - sum(auc * n) FILTER (side = 'b') / sum(n) FILTER (side = 'b') FROM areas_of JOIN halves USING (campaign) WHERE rep = 0 AND auc IS NOT NULL AND half = '{h}') AS auc_gap_{h}" for h in ('early', 'late'))} FROM gaps_of""",
+         rounded="auc_gap capture_gap auc_low auc_high capture_low capture_high auc_gap_early auc_gap_late", **M, halves=_HALF, drawn=_WITH_POINT(7, 20), **_OF_REPS)
+_VERDICT = "SELECT *, CASE WHEN gap_low > 0 THEN 'pass' WHEN gap_high < 0 THEN 'fail' ELSE 'inconclusive' END AS verdict FROM (SELECT " + ", ".join(_Q.format(c, f"{n}_low", f"{n}_high") for c, n in (("ca", "capture_score"), ("cb", "capture_score_b"), ("capture", "gap"))) + ", stddev_pop(capture) AS gap_sd FROM gaps_of)"
+_VERDICT_COLUMNS = "capture_score_low capture_score_high capture_score_b_low capture_score_b_high gap_low gap_high gap_sd"
+register("cluster_bootstrap", on(lambda d: m.bootstrap_capture(d.where("treatment = 1"), "score", "score_b", "label", ["household_key"])), _VERDICT, rounded=_VERDICT_COLUMNS, **M, drawn=_DRAWN.format(seed=1, reps=50, key=_KEYS, rows="mailed_rows"), **_OF_REPS)
+register("bootstrap_capture", on(lambda d: m.bootstrap_capture(d.where("treatment = 1"), "score", "score_b", "label", ["household_key", "campaign"])), _VERDICT, rounded=_VERDICT_COLUMNS, **M, drawn=_DRAWN.format(seed=1, reps=50, key=_KEYS + " || '|' || campaign", rows="mailed_rows"), **_OF_REPS)
+register("campaign_bootstrap", on(lambda d: m.campaign_bootstrap(d.where("treatment = 1").withColumn("flat", F.lit(20.0)), "usual_spend", "flat", "spend", 1000, 0)), """SELECT (SELECT avg(abs(usual_spend - spend)) - avg(abs(20.0::DOUBLE - spend)) FROM mailed_rows) AS diff, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high, avg((d < 0)::INT) AS share_better
+    FROM (SELECT rep, sum(w * (e - f)) / sum(w * n) AS d FROM drawn WHERE w > 0 GROUP BY rep)""", rounded="diff ci_low ci_high share_better", **M, per_campaign="SELECT campaign, sum(abs(usual_spend - spend)) AS e, sum(abs(20.0::DOUBLE - spend)) AS f, count(*) AS n FROM mailed_rows GROUP BY campaign", drawn=_DRAWN.format(seed=0, reps=1000, key="'|' || campaign", rows="per_campaign"))
 
 CAL = {**M, "folds": "SELECT a.campaign AS test_campaign, a.start_day - 7 AS cutoff_day, b.campaign AS train_campaign, b.campaign_type AS train_type FROM campaigns a JOIN campaigns b ON b.end_day < a.start_day - 7 WHERE a.start_day >= 1000"}
 _folds = lambda t: splits.forward_folds(t.campaigns, 1000, 7)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators import metrics as m
 from ..operators import models as mo
 from ..operators import profile, spine, splits
 from ..sources import ingest as i
+from . import binding
 from . import scored as s
 from .catalog import register
 from .queries_features import PARTS, PROFILE
@@ -86,21 +88,45 @@ register("unexplained_blanks", lambda t: h.unexplained_blanks(h.feature_table(t)
 _TEXT = {"campaign_type", "age", "marital", "income", "homeowner", "composition", "size", "kids"}
 register("column_health", lambda t: h.column_health(h.feature_table(t)), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL)::DOUBLE / count(*) AS share_blank, count(DISTINCT {c})::BIGINT AS n_distinct, min({c})::DOUBLE AS least, max({c})::DOUBLE AS most FROM features" for c in _ALL if c not in _TEXT), rounded="share_blank least most", **FEATURES)
 register("output_checks", lambda t: h.output_checks(h.feature_table(t), spine.spine(t)), "SELECT * FROM (VALUES ('repeated_key', 0::BIGINT), ('changed', 0::BIGINT), ('negative', (SELECT count(*) FROM features WHERE least(start_day, n_redemptions, campaign_product_spend_during, history_weeks_before_cutoff, past_redemptions, spend_per_week_8w, days_since_last_trip) < 0)::BIGINT), ('share_outside', (SELECT count(*) FROM features WHERE NOT (coalesce(share_spend_on_discount_26w, 0) BETWEEN 0 AND 1) OR NOT (coalesce(campaign_product_share_26w, 0) BETWEEN 0 AND 1) OR NOT (coalesce(campaign_promo_share, 0) BETWEEN 0 AND 1))::BIGINT)) v(\"check\", n_bad)", **FEATURES)
+_CODED = "(({0} * 100 + k.campaign) * 2 + bit)"  # a household in the world of a campaign, as it was (0) or with its later days given to another (1)
+_WORLDS = "campaigns k, (SELECT unnest([0, 1]) AS bit)"
+_BASE = {k: binding.VIEWS[k] for k in ("tx", "mailings", "demographics")}
+LEAK_VIEWS = {
+    "tx": f"""WITH was AS ({_BASE['tx']}), campaigns AS ({binding.VIEWS['campaigns']}), most AS (SELECT max(household_key) AS m FROM was), moved AS (SELECT was.*, k.campaign, bit, if(bit = 1 AND day >= k.start_day, (was.household_key * 7 + 3) % (m + 1), was.household_key) AS h FROM was, most, {_WORLDS})
+        SELECT ((h * 100 + campaign) * 2 + bit)::BIGINT AS household_key, * EXCLUDE (household_key, campaign, bit, h) FROM moved""",
+    "mailings": f"SELECT {_CODED.format('m.household_key')}::BIGINT AS household_key, m.campaign FROM ({_BASE['mailings']}) m, {_WORLDS}",
+    "demographics": f"SELECT {_CODED.format('d.household_key')}::BIGINT AS household_key, d.* EXCLUDE (household_key) FROM ({_BASE['demographics']}) d, {_WORLDS}",
+    **{k: v for k, v in PROFILE.items() if k not in binding.VIEWS},
+    "cut": f"SELECT {_CODED.format('h.household_key')}::BIGINT AS household_key, k.campaign, k.start_day AS cutoff_day FROM (SELECT DISTINCT household_key // 200 AS household_key FROM tx WHERE household_key % 2 = 0) h, {_WORLDS}",
+}
+#: All numbers of the profile. FEW is for the lines and for what fits many models.
+NUMBERS = [c for c in _PROF if c not in _TEXT]
+LEAKS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count_if(a.{c} IS DISTINCT FROM b.{c})::BIGINT AS n_changed FROM profile a JOIN profile b ON b.household_key = a.household_key + 1 AND b.campaign = a.campaign WHERE a.household_key % 2 = 0" for c in NUMBERS)
 FEW = ["history_weeks_before_cutoff", "spend_per_week_26w", "coupon_lines_per_week_26w", "past_redemptions", "campaign_product_spend_per_week_26w"]
 for _k, _label in ((1, "redeemed_flag"), (2, "campaign_product_spend_during"), (3, "bought_excl_display_flyer")):
     _more = ["mailed_flag"] if _k == 3 else []
-    register(f"model_table_{_k}", lambda t, k=_k, lab=_label, more=_more: h.model_table(h.feature_table(t), h.MODEL_ROWS[k], FEW, [lab, *more]), f"SELECT household_key, campaign, campaign_type, start_day, {', '.join([*FEW, _label, *_more])} FROM features WHERE {h.MODEL_ROWS[_k]}", **FEATURES)
-register("leak_test", lambda t: h.leak_test(t, 1050, profile.profiles, ["spend_per_week_26w", "past_redemptions", "coupon_lines_per_week_all", "past_campaigns_redeemed"]), "SELECT unnest(['spend_per_week_26w', 'past_redemptions', 'coupon_lines_per_week_all', 'past_campaigns_redeemed']) AS \"column\", 0::BIGINT AS n_changed")
+    register(f"model_table_{_k}", lambda t, k=_k, lab=_label, more=_more: h.model_table(h.feature_table(t), h.MODEL_ROWS[k], NUMBERS, [lab, *more]), f"SELECT household_key, campaign, campaign_type, start_day, {', '.join([*NUMBERS, _label, *_more])} FROM features WHERE {h.MODEL_ROWS[_k]}", **FEATURES)
+register("leak_test", lambda t: h.leak_test(t, profile.profiles, NUMBERS), LEAKS, **LEAK_VIEWS)
 register("scramble_future", lambda t: h.scramble_future(t, 1500).transactions.groupBy((F.col("day") >= 1500).alias("later")).agg(F.count(F.lit(1)).alias("n"), F.sum("sales_cents").alias("cents")), "SELECT day >= 1500 AS later, count(*)::BIGINT AS n, sum(sales_cents)::BIGINT AS cents FROM tx GROUP BY 1")
-register("top_signals", lambda t: h.top_signals(s.scored(t), ["score", "score_b", "usual_spend", "spend"], "redeemed", 1), "SELECT 'spend' AS \"column\", auc FROM (SELECT sum(pos * (2 * below + n - pos))::DOUBLE / (2 * sum(pos) * (sum(n) - sum(pos))) AS auc FROM (SELECT *, coalesce(sum(n - pos) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT spend AS s, count(*) AS n, sum(redeemed) AS pos FROM scored GROUP BY ALL)))", rounded="auc", **M)
+_ALONE = "SELECT '{c}' AS \"column\", '{y}' AS outcome, count(*) AS rows_n, greatest(a, 1 - a) AS auc FROM (SELECT sum(pos * (2 * below + n - pos))::DOUBLE / nullif(2 * sum(pos) * (sum(n) - sum(pos)), 0) AS a FROM (SELECT *, coalesce(sum(n - pos) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT {c} AS s, count(*) AS n, sum({y})::BIGINT AS pos FROM features WHERE {c} IS NOT NULL AND {y} IS NOT NULL GROUP BY ALL))) GROUP BY a"
+_YES_NO = ("redeemed_flag", "bought_excl_display_flyer")
+register("top_signals", lambda t: (lambda x: reduce(DataFrame.unionByName, [h.top_signals(x, NUMBERS, y).select("column", "auc", F.lit(y).alias("outcome")) for y in _YES_NO]))(h.feature_table(t).select(*NUMBERS, *_YES_NO)),
+         " UNION ALL ".join(f"SELECT * FROM (SELECT \"column\", auc, outcome FROM ({' UNION ALL '.join(_ALONE.format(c=c, y=y) for c in NUMBERS)}) WHERE auc IS NOT NULL ORDER BY auc DESC, \"column\" LIMIT 3)" for y in _YES_NO), rounded="auc", **FEATURES)
+_RHO = "SELECT '{c}' AS \"column\", corr(rank_avg_x, rank_avg_y) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rank_avg_x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS rank_avg_y FROM (SELECT {c}::DOUBLE AS x, {y}::DOUBLE AS y FROM {f}) WHERE x IS NOT NULL AND y IS NOT NULL)"
+_USUAL = ["spend_per_week_26w", "coupon_lines_per_week_26w", "avg_basket_value_26w", "past_redemptions", "campaign_product_spend_per_week_26w", "days_since_last_trip"]
+register("signal_rank_corr", lambda t: mo.signal_rank_corr(h.feature_table(t), _USUAL, "campaign_product_spend_during"), " UNION ALL ".join(_RHO.format(c=c, y="campaign_product_spend_during", f="features") for c in _USUAL), rounded="rho", **FEATURES)
 
 # models: rows of the model tables, blanks as zero, kept while a model is fitted
 
 
-def rows_of(t, k: int) -> DataFrame:
-    label = {1: "redeemed_flag", 2: "campaign_product_spend_during", 3: "bought_excl_display_flyer"}[k]
-    table = h.model_table(h.feature_table(t), h.MODEL_ROWS[k], FEW, [label, "mailed_flag"])
-    return splits.fill_blanks(table.withColumnRenamed(label, "label"), {c: {"no_history"} for c in FEW}, {"no_history"}).persist()
+def rows_of(t, k: int, columns: list[str] | None = None) -> DataFrame:
+    """A model's rows, as a table in the shared folder: fitting reads it many times."""
+    columns, label = columns or NUMBERS, {1: "redeemed_flag", 2: "campaign_product_spend_during", 3: "bought_excl_display_flyer"}[k]
+    table = h.model_table(h.feature_table(t), h.MODEL_ROWS[k], columns, [label, "mailed_flag", "duration_days"])
+    filled = splits.fill_blanks(table.withColumnRenamed(label, "label"), {c: {"no_history"} for c in columns}, {"no_history"})
+    path = shared_path(t.campaigns.sparkSession, f"model_rows_{k}")
+    filled.write.parquet(path)
+    return t.campaigns.sparkSession.read.schema(filled.schema).parquet(path)
 
 
 def parts(t, k: int) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +141,7 @@ def judged(df: DataFrame) -> DataFrame:
 def _classifier(make):
     def run(t):
         train, test = parts(t, 1)
-        return judged(make(train, FEW, "label").score(test))
+        return judged(make(train, NUMBERS, "label").score(test))
 
     return run
 
@@ -123,7 +149,7 @@ def _classifier(make):
 def _regressor(kind):
     def run(t):
         train, test = parts(t, 2)
-        return m.errors(mo.regressor(train, FEW, "label", kind).score(test), "score", "label")
+        return m.errors(mo.regressor(train, NUMBERS, "label", kind).score(test), "score", "label")
 
     return run
 
@@ -148,25 +174,25 @@ _m2 = lambda t: rows_of(t, 2).select(F.col("spend_per_week_26w").alias("x"), F.c
 register("m2_line", lambda t: mo.line(_m2(t), "x", "y"), "SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM m2", rounded="slope intercept", **_R2)
 register("m2_benchmarks", lambda t: _m2(t).agg(F.avg("y").alias("mean"), F.median("y").alias("median")), "SELECT avg(y) AS mean, median(y) AS median FROM m2", rounded="mean median", **_R2)
 register("m2_median_line", lambda t: (lambda x: m.errors(mo.scored_line(x, "x", *mo.median_line(x, "x", "y"), "p"), "p", "y"))(_m2(t)))
-register("m3_t_learner", _uplift(lambda a, b: mo.t_learner(a, b, FEW, "label", "mailed_flag")))
-register("m3_t_weighted", _uplift(lambda a, b: mo.t_learner(m.ipw(with_p(a), "p", "mailed_flag").where("in_overlap"), b, FEW, "label", "mailed_flag", "ipw_weight")))
-register("m3_x_learner", _uplift(lambda a, b: mo.x_learner(with_p(a), with_p(b), FEW, "label", "mailed_flag", "p")))
-register("m3_dr_learner", _uplift(lambda a, b: mo.dr_learner(with_p(a), with_p(b), FEW, "label", "mailed_flag", "p")))
-register("propensity", lambda t: mo.propensity(rows_of(t, 3), FEW, "mailed_flag").groupBy("mailed_flag").agg(F.avg("propensity").alias("mean"), F.count(F.lit(1)).alias("n")))
+register("m3_t_learner", _uplift(lambda a, b: mo.t_learner(a, b, NUMBERS, "label", "mailed_flag")))
+register("m3_t_weighted", _uplift(lambda a, b: mo.t_learner(m.ipw(with_p(a), "p", "mailed_flag").where("in_overlap"), b, NUMBERS, "label", "mailed_flag", "ipw_weight")))
+register("m3_x_learner", _uplift(lambda a, b: mo.x_learner(with_p(a), with_p(b), NUMBERS, "label", "mailed_flag", "p")))
+register("m3_dr_learner", _uplift(lambda a, b: mo.dr_learner(with_p(a), with_p(b), NUMBERS, "label", "mailed_flag", "p")))
+register("propensity", lambda t: mo.propensity(rows_of(t, 3), NUMBERS, "mailed_flag").groupBy("mailed_flag").agg(F.avg("propensity").alias("mean"), F.count(F.lit(1)).alias("n")))
 
 
 def _entropy(t):
     x = rows_of(t, 3)
-    w = mo.entropy_weights(x, FEW[:3], "mailed_flag")
+    w = mo.entropy_weights(x, FEW, "mailed_flag")
     if w is None:
         return x.limit(0).select(F.lit("").alias("column"), F.lit(0.0).alias("gap"))
     one = lambda c: F.abs(F.sum(F.col("entropy_weight") * F.col(c)) / F.sum("entropy_weight")).alias(c)
-    means, want = w.agg(*map(one, FEW[:3])), x.where("mailed_flag = 1").agg(*[F.avg(c).alias(f"w_{c}") for c in FEW[:3]])
-    return means.crossJoin(want).selectExpr("stack(3, {}) AS (`column`, gap)".format(", ".join(f"'{c}', round(abs({c} - w_{c}), 4)" for c in FEW[:3])))
+    means, want = w.agg(*map(one, FEW)), x.where("mailed_flag = 1").agg(*[F.avg(c).alias(f"w_{c}") for c in FEW])
+    return means.crossJoin(want).selectExpr("stack(5, {}) AS (`column`, gap)".format(", ".join(f"'{c}', round(abs({c} - w_{c}), 4)" for c in FEW)))
 
 
-register("m3_entropy_weights", _entropy, "SELECT unnest(['" + "', '".join(FEW[:3]) + "']) AS \"column\", 0::DOUBLE AS gap")
-register("sure_things", lambda t: (lambda a, b: judged(mo.forest(a.where("mailed_flag = 1"), FEW, "label").score(b.where("mailed_flag = 1"))))(*parts(t, 3)))
+register("m3_entropy_weights", _entropy)
+register("sure_things", lambda t: (lambda a, b: judged(mo.forest(a.where("mailed_flag = 1"), NUMBERS, "label").score(b.where("mailed_flag = 1"))))(*parts(t, 3)))
 
 
 def _forward(t):
@@ -178,8 +204,66 @@ def _forward(t):
 
 
 register("forward_predict", lambda t: _forward(t).groupBy("candidate_id", "campaign").agg(F.count(F.lit(1)).alias("n")))
-register("choose_candidate", lambda t: mo.choose_candidate(m.within_auc(s.scored(t), "score", "label", ["campaign"]).select(F.lit("a").alias("candidate_id"), F.col("auc").alias("score"), F.lit(1).alias("complexity")).union(m.within_auc(s.scored(t), "spend", "label", ["campaign"]).select(F.lit("b"), "auc", F.lit(2))), "a", 0.05), "SELECT 'b' AS candidate_id, 1::DOUBLE AS score")
-register("permutation_importance", lambda t: (lambda a, b: (lambda f: judged(f.score(mo.permuted(b, FEW[1], 1))))(mo.logistic(a, FEW, "label")))(*parts(t, 1)))
+_WITHIN = "SELECT '{id}' AS candidate_id, sum(auc * n) / sum(n) AS score FROM (SELECT sum(n) AS n, sum(pos * (2 * below + n - pos))::DOUBLE / nullif(2 * sum(pos) * (sum(n) - sum(pos)), 0) AS auc FROM (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY campaign ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT campaign, {c} AS s, count(*) AS n, sum(redeemed) AS pos FROM scored GROUP BY ALL)) GROUP BY campaign) WHERE auc IS NOT NULL"
+_CANDIDATES = {"a": "score", "b": "score_b", "c": "usual_spend", "d": "propensity"}
+register("choose_candidate", lambda t: (lambda d: mo.choose_candidate(reduce(DataFrame.unionByName, [m.within_auc(d, c, "redeemed", ["campaign"]).select(F.lit(k).alias("candidate_id"), F.col("auc").alias("score"), F.lit(i).alias("complexity")) for i, (k, c) in enumerate(_CANDIDATES.items())]), "a", 0.002, 0.001))(s.scored(t)),
+         f"""SELECT candidate_id, score FROM (SELECT *, max(score) OVER () AS top, max(score) FILTER (candidate_id = 'a') OVER () AS base FROM ({' UNION ALL '.join(_WITHIN.format(id=k, c=c) for k, c in _CANDIDATES.items())}))
+    WHERE candidate_id = 'a' OR (score - base >= 0.002 AND score >= top - 0.001) ORDER BY candidate_id = 'a', candidate_id LIMIT 1""", rounded="score", **M)
+register("permutation_importance", lambda t: (lambda a, b: mo.permutation_importance(mo.logistic(a, NUMBERS, "label"), b, NUMBERS, "label"))(*parts(t, 1)))
+
+
+def _importances(t):
+    train, _ = parts(t, 1)
+    return t.campaigns.sparkSession.createDataFrame(sorted(mo.importances(mo.forest(train, NUMBERS, "label")).items()), "feature string, importance double")  # a row a feature
+
+
+GROUPS = {
+    "activity": [c for c in NUMBERS if c.startswith(("spend_", "trips_", "avg_basket", "days_since", "history", "short_", "no_history", "n_departments", "share_spend"))],
+    "coupons": [c for c in NUMBERS if c.startswith("coupon_")], "past campaigns": [c for c in NUMBERS if c.startswith(("past_", "redeemed_last", "other_campaigns"))],
+    "offer": [c for c in NUMBERS if c.startswith("campaign_")], "household": [c for c in NUMBERS if c.endswith("_code")],
+}
+_logistic_log = lambda d, f: mo.logistic(d, f, "label", penalty=0.01, logs=True)
+register("importances", _importances)
+register("ablation", lambda t: (lambda a, b: mo.ablation(a, b, GROUPS, _logistic_log, "label"))(*parts(t, 1)))
+register("spline_logistic", lambda t: (lambda a, b: judged(mo.spline_logistic(a, b, FEW, "label")))(*parts(t, 1)))
+register("by_type", lambda t: (lambda a, b: judged(mo.by_type(a, b, lambda d: _logistic_log(d, FEW))))(*parts(t, 1)))
+_CROSSED = ["coupon_lines_per_week_26w", "coupon_commodities_26w", "coupon_trip_share_26w", "past_redemptions"]
+register("type_interactions", lambda t: mo.type_interactions(h.feature_table(t), _CROSSED).select("household_key", "campaign", *[f"{c}_x_type_a" for c in _CROSSED]), f"SELECT household_key, campaign, {', '.join(f'if(campaign_type = chr(65), {c}, 0) AS {c}_x_type_a' for c in _CROSSED)} FROM features", **FEATURES)
+_FOLDS = "SELECT a.campaign AS test_campaign, b.campaign AS train_campaign, b.end_day FROM campaigns a JOIN campaigns b ON b.end_day < a.start_day - 7 WHERE a.start_day >= 1000"
+register("recent_only", lambda t: mo.recent_only(splits.forward_folds(t.campaigns, 1000, 7), t.campaigns), "SELECT test_campaign, train_campaign FROM folds QUALIFY row_number() OVER (PARTITION BY test_campaign ORDER BY end_day DESC, train_campaign DESC) <= 6", folds=_FOLDS)
+
+
+def _single(t):
+    x = h.feature_table(t).where("mailed_flag = 1").select("household_key", "campaign", *_USUAL, "redeemed_flag").join(F.broadcast(splits.split_70_30(t.campaigns)), "campaign")
+    return mo.single_feature_rank(x.where("part = 'train'"), x.where("part = 'test'").fillna(0.0, _USUAL), _USUAL, "redeemed_flag")
+
+
+_HALVES = {**FEATURES, "split": "SELECT campaign, row_number() OVER (ORDER BY start_day, campaign) <= floor(0.7 * (SELECT count(*) FROM campaigns)) AS early FROM campaigns", "early_rows": "SELECT f.* FROM features f JOIN split USING (campaign) WHERE early AND mailed_flag = 1",
+           "late_rows": "SELECT f.* FROM features f JOIN split USING (campaign) WHERE NOT early AND mailed_flag = 1", "signs": " UNION ALL ".join(_RHO.format(c=c, y="redeemed_flag", f="early_rows") for c in _USUAL)}
+_TOP = """SELECT '{c}' AS feature, direction, sum(pos * greatest(0::DOUBLE, least(n::DOUBLE, greatest(1::DOUBLE, round_even(n_all * 0.2::DOUBLE, 0)) - above)) / n) / sum(pos) AS capture FROM (SELECT *, sum(n) OVER (PARTITION BY campaign ORDER BY x DESC ROWS UNBOUNDED PRECEDING) - n AS above, sum(n) OVER (PARTITION BY campaign) AS n_all
+    FROM (SELECT campaign, direction, if(direction = 'higher', 1, -1) * coalesce({c}, 0)::DOUBLE AS x, count(*) AS n, sum(redeemed_flag) AS pos FROM late_rows, (SELECT if(coalesce(rho, 0) >= 0, 'higher', 'lower') AS direction FROM signs WHERE "column" = '{c}') GROUP BY ALL)) GROUP BY direction"""
+register("single_feature_rank", _single, " UNION ALL ".join(_TOP.format(c=c) for c in _USUAL), rounded="capture", **_HALVES)
+
+
+def _spend_if_redeem(t):
+    x = h.feature_table(t)
+    fitted_on = x.where(h.MODEL_ROWS[2]).fillna(0.0, ["campaign_product_spend_per_week_26w"]).withColumn("usual", mo.usual_spend())
+    slope, intercept = mo.line(fitted_on, "usual", "campaign_product_spend_during").first()
+    return mo.spend_if_redeem(x.where("mailed_flag = 1").fillna(0.0, ["campaign_product_spend_per_week_26w"]), fitted_on, slope, intercept).select("household_key", "campaign", "spend_if_redeem")
+
+
+_USUAL_SPEND = "coalesce(campaign_product_spend_per_week_26w, 0) * duration_days / 7"
+register("spend_if_redeem", _spend_if_redeem, f"""SELECT household_key, campaign, if(campaign IN (SELECT campaign FROM fitted_on), greatest(0, a * {_USUAL_SPEND} + b), NULL)::DOUBLE AS spend_if_redeem FROM features, (SELECT regr_slope(y, u) AS a, regr_intercept(y, u) AS b FROM fitted_on) WHERE mailed_flag = 1""",
+         rounded="spend_if_redeem", **FEATURES, fitted_on=f"SELECT campaign, {_USUAL_SPEND} AS u, campaign_product_spend_during AS y FROM features WHERE {h.MODEL_ROWS[2]}")
+
+
+def _totals(t):
+    x = rows_of(t, 2, FEW).withColumn("x", mo.usual_spend())
+    slope, intercept, scale = mo.median_totals(x, "x", "label")
+    return m.errors(mo.scored_line(x, "x", slope * scale, intercept * scale, "p"), "p", "label")
+
+
+register("m2_median_totals", _totals)
 register("recency_weighted", lambda t: mo.recency_weight(t.campaigns, 2400, 180).select("campaign", "recency_weight"), "SELECT campaign, power(0.5, (2400 - start_day) / 180.0::DOUBLE) AS recency_weight FROM campaigns", rounded="recency_weight")
 _PCT = "(rank() OVER (PARTITION BY campaign ORDER BY {0}) + (count(*) OVER (PARTITION BY campaign, {0}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY campaign)"
 register("rank_blend", lambda t: mo.rank_blend(s.scored(t), "score", "score_b").select("household_key", "campaign", "blend"), f"SELECT household_key, campaign, ({_PCT.format('score')} + {_PCT.format('score_b')}) / 2 AS blend FROM scored", rounded="blend", **M)

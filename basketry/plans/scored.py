@@ -25,5 +25,5 @@ SCORED = {
     "scored": """SELECT s.household_key, s.campaign, s.campaign_type, s.start_day, s.end_day, s.duration_days, s.mailed_flag AS treatment, s.redeemed_flag AS redeemed, (CASE WHEN b.cents IS NULL THEN 0 ELSE 1 END)::BIGINT AS label, coalesce(b.cents, 0) / 100::DOUBLE AS spend,
         ((household_key * 37 + campaign * 101) % 97)::DOUBLE / 97::DOUBLE AS score, ((household_key * 53 + campaign * 29) % 89)::DOUBLE / 89::DOUBLE AS score_b, 0.02::DOUBLE + ((household_key * 13 + campaign * 7) % 97)::DOUBLE / 100::DOUBLE AS propensity, ((household_key * 17 + campaign * 3) % 5000)::DOUBLE / 100::DOUBLE AS usual_spend
         FROM spine s LEFT JOIN (SELECT household_key, campaign, sum(sales_cents) AS cents FROM window_lines GROUP BY ALL) b USING (household_key, campaign)""",
-    "weighted": "SELECT *, CASE WHEN treatment = 1 THEN 1::DOUBLE ELSE propensity / (1 - propensity) END AS ipw_weight, propensity BETWEEN 0.05 AND 0.95 AS in_overlap FROM scored",
+    "weighted": "SELECT *, 1 / (CASE WHEN treatment = 1 THEN propensity ELSE 1 - propensity END) AS ipw_weight, propensity BETWEEN 0.05 AND 0.95 AS in_overlap FROM scored",
 }
