@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names in spark.checkpoint.dir; where it names none, in a folder of this process."""
+    """A new path in the shared folder that the session names in spark.checkpoint.dir; where it names none, in a folder of this process, if Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/basketry-{os.getpid()}"
     return f"{base.rstrip('/')}/basketry-{uuid.uuid4().hex[:12]}/{name}"
 
@@ -35,14 +37,6 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table that written() made."""
-    jvm = df.sparkSession._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each Spark application."""
     sc = spark.sparkContext

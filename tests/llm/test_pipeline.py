@@ -1,6 +1,8 @@
 import re
 
-from basketry.llm import decontamination, simhash
+from basketry.llm import decontamination
+
+from .near_copies_by_pairs import brute
 
 D = "/root/testdata/sf0.001"
 
@@ -20,17 +22,7 @@ def test_stages_against_their_own_inputs(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in b}
     assert kept <= {r["doc_id"] for r in a} and sum(labels[i] == (i in kept) for i in labels) / len(labels) > 0.95
-    fps = {r["doc_id"]: simhash.fingerprint(r["text"].encode()) for r in b}
-    stay = set()
-    left = dict(fps)
-    while left:  # one of each group stays: the smallest
-        group, grew = {min(left)}, True
-        while grew:
-            more = {i for i in left if i not in group and any(bin(left[i] ^ left[j]).count("1") <= 2 for j in group)}
-            grew = bool(more)
-            group |= more
-        stay.add(min(group))
-        left = {i: f for i, f in left.items() if i not in group}
+    stay = set(brute([(r["doc_id"], r["text"]) for r in b]).values())  # one of each group of near copies: the smallest
     assert {r["doc_id"] for r in d} == stay
     items = [decontamination.fold(r["text"].encode()) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
     bad = {r["doc_id"] for r in d for i in items if set(i) & set(w := decontamination.fold(r["text"].encode())) and decontamination.best_stretch(i, w)[0] <= decontamination.allowed_edits(len(i), 0.8)}
@@ -39,3 +31,15 @@ def test_stages_against_their_own_inputs(spark):
     before = {m for r in e for m in re.findall(r"\S+@\S+\.com|\d{3}-\d{4}|AKIA\w+", r["text"])}
     assert not before & {m for r in p for m in re.findall(r"\S+@\S+\.com|\d{3}-\d{4}|AKIA\w+", r["text"])}
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in p}
+
+
+def test_stages_on_odd_and_empty_tables(spark, docs, no_docs):
+    import corpus_pipeline as c
+
+    for name, stage in c.STAGES:
+        out = stage(spark, docs, D)
+        assert stage(spark, no_docs, D).count() == 0
+        if name != c.STAGES[-1][0]:
+            assert out.columns == docs.columns and out.count() <= docs.count()
+        else:
+            assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in docs.collect()}
