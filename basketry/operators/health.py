@@ -106,6 +106,9 @@ def scramble_future(t: Tables, cutoff: int, seed: int = 0) -> Tables:
     return t.with_(transactions=moved(t.transactions), redemptions=moved(t.redemptions))
 
 
+EXCHANGED = 100_000
+
+
 def leak_test(t: Tables, build, columns: list[str]) -> DataFrame:
     """(column, n_changed): how many values of a feature change, over all households and campaigns, when the days from the campaign's start on are scrambled. build: (tables, rows) -> features.
 
@@ -116,11 +119,11 @@ def leak_test(t: Tables, build, columns: list[str]) -> DataFrame:
     n = t.campaigns.count()
     coded = F.col("household_key") * (n + 1) + F.col("_place")
     households = t.transactions.select("household_key").distinct()
-    part = F.pmod(F.xxhash64("household_key"), F.lit(64))
-    order = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("household_key", F.lit(5)), "household_key"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("household_key"))
-    both = households.withColumn("part", part).withColumn("a", order).withColumn("b", place)
-    swap = both.select("part", "household_key", "a").join(both.select("part", F.col("household_key").alias("_to"), F.col("b").alias("a")), ["part", "a"]).select("household_key", "_to")
+    # each household's later days go to the next one of its hash part, the last one's to the first; parts have about EXCHANGED households
+    part = F.pmod(F.xxhash64("household_key"), F.lit(households.count() // EXCHANGED + 1))
+    ring = Window.partitionBy("part").orderBy(F.xxhash64("household_key", F.lit(5)), "household_key")
+    first = F.first("household_key").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    swap = households.withColumn("part", part).select("household_key", F.coalesce(F.lead("household_key").over(ring), first).alias("_to"))
 
     def everywhere(df: DataFrame, moves: bool) -> DataFrame:
         x = df.join(swap, "household_key", "left") if moves else df.withColumn("_to", F.col("household_key"))

@@ -24,8 +24,12 @@ _TX = ["household_key", "product_id", "basket_id"]
 
 
 def shared_path(spark, name: str) -> str:
-    """A new path in the folder that the session shares between executors; without one, in the local temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A new path in the folder that the session shares between executors; without one, in the local temporary folder, if Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/basketry-{uuid.uuid4().hex[:12]}/{name}"
 
 

@@ -83,8 +83,15 @@ def test_checks_find_what_is_planted(t):
 
 
 def test_nothing_leaks_from_the_future_and_a_peek_does(t):
-    clean = health.leak_test(t, 100, profile.profiles, ["spend_per_week_26w", "past_redemptions"])
-    assert all(r["n_changed"] == 0 for r in clean.collect())
+    columns = ["spend_per_week_26w", "past_redemptions", "coupon_lines_per_week_all"]
+    assert {r["column"]: r["n_changed"] for r in health.leak_test(t, profile.profiles, columns).collect()} == dict.fromkeys(columns, 0)
+
+    def peek(tables, rows):
+        every = tables.transactions.groupBy("household_key").agg(F.sum("sales_cents").alias("spend_per_week_26w"))
+        return profile.profiles(tables, rows).drop("spend_per_week_26w").join(every, "household_key", "left")
+
+    got = {r["column"]: r["n_changed"] for r in health.leak_test(t, peek, columns).collect()}
+    assert got["spend_per_week_26w"] > 0 == got["past_redemptions"]
 
 
 def test_blanks_have_reasons(t):
@@ -102,7 +109,7 @@ def test_z_and_e_values(spark):
     d = spark.createDataFrame([(1, 1)] * 30 + [(1, 0)] * 70 + [(0, 1)] * 20 + [(0, 0)] * 80, "t long, y long")
     r = analyses.ate_test(d, "y", "t").first()
     assert r["z"] == pytest.approx(1.6330, abs=1e-4) and r["p_value"] == pytest.approx(0.10247, abs=1e-4)
-    assert spark.range(1).select(metrics.e_value(F.lit(2.0))).first()[0] == pytest.approx(2 + 2**0.5)
+    assert spark.range(1).select(metrics.e_value(F.lit(0.4), F.lit(0.2)), metrics.e_value(F.lit(0.2), F.lit(0.2)), metrics.e_value(F.lit(0.0), F.lit(0.2))).first()[:] == (pytest.approx(2 + 2**0.5), None, None)
 
 
 def test_a_good_order_has_the_greater_qini(spark):
@@ -113,7 +120,7 @@ def test_a_good_order_has_the_greater_qini(spark):
 
 def test_bootstrap_is_seeded_and_tells_a_clear_winner(spark):
     d = spark.createDataFrame([(c, 100 * c + i, i % 10 == 0, float(i % 10 == 0), i / 50) for c in range(4) for i in range(50)], "campaign long, household_key long, y boolean, best double, worst double").withColumnRenamed("y", "yb").selectExpr("*", "CAST(yb AS LONG) AS y")
-    a, b = (metrics.bootstrap_capture(d, "best", "worst", "y", reps=10).first() for _ in range(2))
+    a, b = (metrics.bootstrap_capture(d, "best", "worst", "y", ["household_key"], reps=10).first() for _ in range(2))
     assert a == b and a["verdict"] == "pass"
 
 
