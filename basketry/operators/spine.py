@@ -74,3 +74,14 @@ def rates(tables: Tables) -> DataFrame:
     m = redeemed(tables).where("mailed_flag = 1")
     out = m.rollup("campaign_type").agg(F.count(F.lit(1)).alias("mailed"), F.sum("redeemed_flag").alias("redeemed"))
     return out.select(F.coalesce("campaign_type", F.lit("all")).alias("campaign_type"), "mailed", "redeemed", (F.col("redeemed") / F.col("mailed")).alias("rate"))
+
+
+def redemption_rate(t: Tables) -> DataFrame:
+    """One row for each campaign type, and for all: distinct mailings, those with a redemption, their share, and redeemed pairs that were not mailed."""
+    pair = ["household_key", "campaign"]
+    mailed = t.mailings.select(*pair).distinct().withColumn("sent", F.lit(True))
+    redeemed = t.redemptions.select(*pair).distinct().withColumn("hit", F.lit(True))
+    both = mailed.join(redeemed, pair, "full").join(F.broadcast(t.campaigns.select("campaign", "campaign_type")), "campaign", "left")
+    sent, hit = F.col("sent").isNotNull(), F.col("hit").isNotNull()
+    g = both.withColumn("group", F.explode(F.array(F.lit("all"), "campaign_type"))).groupBy("group").agg(F.count_if(sent).alias("mailings"), F.count_if(sent & hit).alias("redeemed"), F.count_if(~sent).alias("not_mailed"))
+    return g.select("group", "mailings", "redeemed", (F.col("redeemed") / F.col("mailings")).alias("rate"), "not_mailed")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import decision, splits
 from ..operators import metrics as m
-from ..operators import splits
 from . import scored as s
 from .catalog import register
 
@@ -101,6 +101,7 @@ def _long(d):
 
 _LONG = "SELECT household_key, campaign, 'a' AS candidate_id, score, household_key % 2 = 0 AS chosen FROM mailed_rows UNION ALL SELECT household_key, campaign, 'b', score_b, household_key % 2 = 1 FROM mailed_rows"
 register("wide_predictions", on(lambda d: m.wide(_long(d), ["household_key", "campaign"], ["a", "b"])), "SELECT household_key, campaign, score AS a, score_b AS b FROM mailed_rows", **M)
+register("in_use_rows", on(lambda d: decision.in_use_rows(_long(d).withColumns({"is_default": F.col("candidate_id") == "a", "locked": F.lit(False)})).select("household_key", "campaign", "candidate_id", "score")), "SELECT household_key, campaign, 'a' AS candidate_id, score FROM mailed_rows", **M)
 register("contract_checks", on(lambda d: m.contract(_long(d))), """SELECT 'blank' AS "check", count(*) FILTER (WHERE score IS NULL)::BIGINT AS n_bad FROM long UNION ALL SELECT 'repeated', (SELECT count(*) FROM (SELECT 1 FROM long GROUP BY household_key, campaign, candidate_id HAVING count(*) > 1))
     UNION ALL SELECT 'not_one_choice', (SELECT count(*) FROM (SELECT 1 FROM long GROUP BY household_key, campaign HAVING count(*) FILTER (WHERE chosen) <> 1))""", **M, long=_LONG)
 

@@ -41,3 +41,5 @@ register(
     FROM spine WHERE mailed_flag = 1 GROUP BY ROLLUP (campaign_type)""",
     **SPINE,
 )
+register("prof_redemption_rate", spine.redemption_rate, """SELECT g AS "group", count(sent)::BIGINT AS mailings, count(sent + hit)::BIGINT AS redeemed, count(sent + hit)::DOUBLE / count(sent) AS rate, count_if(sent IS NULL)::BIGINT AS not_mailed
+    FROM (SELECT sent, hit, unnest(['all', campaign_type]) AS g FROM (SELECT DISTINCT household_key, campaign, 1 AS sent FROM mailings) FULL JOIN (SELECT DISTINCT household_key, campaign, 1 AS hit FROM redemptions) USING (household_key, campaign) LEFT JOIN campaigns USING (campaign)) GROUP BY g""")
