@@ -1,11 +1,14 @@
 """Licence scans by a trained paragraph classifier.
 
 Units are the lines of a text and, for notices that are wrapped over several lines,
-the lines with AROUND lines and at most REACH words before and after them.
+the lines with the REACH words before and after them, over however many lines these
+are spread; lines without a word do not count. No template has more than REACH words,
+so a unit around any line of a notice holds the whole notice.
 A multinomial logistic regression over sparse word n-grams (1 to 3 words), made
 sparse by an elastic net, names the licence family or `unknown`. It is trained
 here, on notices (TEMPLATES), their variants with words left out, and negatives:
-notices with their words shuffled and at most NEGATIVES lines of the corpus.
+notices with their words shuffled and at most NEGATIVES lines of the corpus. Notices
+and shuffled ones are also shown between words of such lines.
 Probabilities are calibrated by a temperature fitted on variants that training did
 not see. A prediction counts if its probability is at least CERTAIN and the unit
 holds at least CONFIRMED of the word triples of a template of that family; else the
@@ -30,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import table, written
 
-NEGATIVES, VARIANTS, CERTAIN, CONFIRMED, AROUND, REACH = 2000, 12, 0.5, 0.6, 3, 40
+NEGATIVES, VARIANTS, CERTAIN, CONFIRMED, REACH = 2000, 12, 0.5, 0.6, 40
 UNKNOWN = "unknown"
 # Notices by family.
 TEMPLATES = {
@@ -105,6 +108,14 @@ def has_anchor(text: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def nearest(lines: Column, before: bool) -> Column:
+    """The texts and words of `lines`, given nearest first, up to the line that makes them REACH words, in the order of the text."""
+    none = F.array().cast("array<string>")
+    join = (lambda old, new: F.concat(new, old)) if before else F.concat
+    more = lambda got, line: F.struct(join(got["texts"], F.array(line)).alias("texts"), join(got["words"], words_of(line)).alias("words"))
+    return F.aggregate(lines, F.struct(none.alias("texts"), none.alias("words")), lambda got, line: F.when(F.size(got["words"]) >= REACH, got).otherwise(more(got, line)))
+
+
 class Model:
     def __init__(self, vocabulary: CountVectorizerModel, regression: LogisticRegressionModel, temperature: float):
         self.vocabulary, self.regression, self.temperature = vocabulary, regression, temperature
@@ -120,6 +131,18 @@ class Model:
         return p.select(*[c for c in units.columns if c != "grams"], named.alias("family"), F.array_max("_p").alias("probability"), "_p")
 
 
+def _amid(examples: DataFrame, lines: DataFrame, places: int = 64) -> DataFrame:
+    """examples between words of corpus lines, up to REACH on either side, as they stand in the middle of a text; without lines as they are."""
+    at = lambda side: F.pmod(F.xxhash64("label", "words", F.lit(side)), F.lit(places))
+    context = lines.groupBy(F.pmod(F.xxhash64("words"), F.lit(places)).alias("place")).agg(F.min("words").alias("context"))
+    out = examples.select("*", *[at(side).alias(side) for side in ("ahead", "behind")])
+    for side in ("ahead", "behind"):
+        few = (F.pmod(F.xxhash64("words", F.lit(f"{side} words")), F.lit(REACH + 1))).cast("int")
+        near = context.select(F.col("place").alias(side), F.col("context").alias(f"{side}_words"))
+        out = out.join(F.broadcast(near), side, "left").withColumn(f"{side}_words", F.slice(F.coalesce(f"{side}_words", F.array().cast("array<string>")), 1, few))  # at most `places` rows
+    return out.select("label", F.concat("ahead_words", "words", "behind_words").alias("words"), "held")
+
+
 def train(docs: DataFrame) -> Model:
     """Fit on templates, their variants and at most NEGATIVES corpus lines, those of the documents whose ids have the lowest hashes."""
     spark = docs.sparkSession
@@ -137,9 +160,11 @@ def train(docs: DataFrame) -> Model:
     some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # NEGATIVES // 8 ids
     lines = some.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~has_anchor(F.col("line")))
     lines = lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).select(F.lit(unknown).alias("label"), F.slice(words_of(F.col("line")), 1, 60).alias("words"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 3).alias("held"))
-    every = positives.union(mixed).union(lines).select("label", "held", n_grams(F.col("words")).alias("grams")).coalesce(2).cache()
+    every = positives.union(mixed)
+    every = every.union(_amid(every, lines)).union(lines).select("label", "held", n_grams(F.col("words")).alias("grams")).coalesce(2).cache()
     fit_on = every.where("not held")
-    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=1 << 14).fit(fit_on)
+    # only what notices say is a feature, so the words around a notice are no evidence against it
+    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=1 << 14).fit(positives.where("not held").select(n_grams(F.col("words")).alias("grams")))
     regression = LogisticRegression(family="multinomial", maxIter=40, regParam=0.002, elasticNetParam=0.3).fit(vocabulary.transform(fit_on))
     raw = regression.transform(vocabulary.transform(every.where("held"))).select("label", vector_to_array("rawPrediction").alias("r"))
     grid = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
@@ -166,16 +191,20 @@ def scan_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or train(docs)
     spark = docs.sparkSession
-    hit = docs.select("doc_id", "text").where(has_anchor(F.col("text"))).select("doc_id", F.split("text", "\n").alias("lines"))
-    marked = F.filter(F.transform("lines", lambda x, i: F.when(has_anchor(x), i)), lambda i: i.isNotNull())
-    some = lambda first, n: F.array_join(F.slice("lines", first, n), " ")
-    place = lambda i: F.struct(i.alias("line"), F.col("lines")[i].alias("unit"), some(F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND))).alias("before"), some(i + 2, AROUND).alias("after"))
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    with_words = F.filter(numbered, lambda x: F.lower(x["text"]).rlike("[a-z0-9]"))
+    hit = docs.select("doc_id", "text").where(has_anchor(F.col("text"))).select("doc_id", with_words.alias("lines"))
+    is_marked = lambda x: has_anchor(x) & F.arrays_overlap(words_of(x), F.array(*map(F.lit, anchors())))
+    marked = F.filter(F.transform("lines", lambda x, i: F.when(is_marked(x["text"]), i)), lambda i: i.isNotNull())
+    ahead = lambda i: nearest(F.reverse(F.slice("lines", F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH)))["text"]), True)
+    behind = lambda i: nearest(F.slice("lines", i + 2, REACH)["text"], False)
+    place = lambda i: F.struct(F.col("lines")[i]["line"].alias("line"), F.col("lines")[i]["text"].alias("unit"), ahead(i).alias("before"), behind(i).alias("after"))
     found = hit.select("doc_id", F.explode(F.transform(marked, place)).alias("x")).select("doc_id", "x.*").withColumn("words", words_of(F.col("unit")))
-    found = written(found.where(F.arrays_overlap("words", F.array(*map(F.lit, anchors())))).withColumn("at", F.monotonically_increasing_id()), "units")
-    ahead, behind = words_of(F.col("before")), words_of(F.col("after"))
-    wide = F.concat(F.slice(ahead, F.greatest(F.size(ahead) - REACH, F.lit(0)) + 1, F.lit(REACH)), F.col("words"), F.slice(behind, 1, REACH))
+    found = written(found.withColumn("at", F.monotonically_increasing_id()), "units")
+    start = F.greatest(F.size("before.words") - REACH, F.lit(0)) + 1
+    wide = F.concat(F.slice("before.words", start, F.lit(REACH)), F.col("words"), F.slice("after.words", 1, REACH))
     single = found.select("at", "doc_id", "line", F.lit(False).alias("wrapped"), "unit", "words")
-    several = found.where((F.col("before") != "") | (F.col("after") != "")).select("at", "doc_id", "line", F.lit(True).alias("wrapped"), F.concat_ws("\n", "before", "unit", "after").alias("unit"), wide.alias("words"))
+    several = found.where((F.size("before.words") > 0) | (F.size("after.words") > 0)).select("at", "doc_id", "line", F.lit(True).alias("wrapped"), F.concat_ws("\n", "before.texts", "unit", "after.texts").alias("unit"), wide.alias("words"))
     units = single.union(several).withColumn("grams", n_grams(F.col("words")))
     predicted = model.predict(units)
     by_family = spark.createDataFrame([(f, [_triples(_words(t)) for t in texts]) for f, texts in TEMPLATES.items()], "family string, templates array<array<string>>")

@@ -133,3 +133,22 @@ def test_every_template_has_anchors_enough():
         for t in texts:
             triples = licenses._triples(licenses._words(t))
             assert sum(not set(x.split()) & chosen for x in triples) <= (1 - licenses.CONFIRMED) * len(triples)
+
+
+def test_a_notice_over_many_lines_is_found_amid_a_text(spark):
+    notice = licenses.TEMPLATES["mit"][-1].split()
+    before = "Several pages of notes about the garden and the weather of last year come before this part".split()
+    spread = lambda n, gap: gap.join(" ".join(notice[i : i + n]) for i in range(0, len(notice), n))
+    amid = lambda block: "\n".join([*(" ".join(before) for _ in range(3)), block, *(" ".join(reversed(before)) for _ in range(3))])
+    rows = [(1, spread(1, "\n")), (2, amid(spread(1, "\n\n"))), (3, amid(spread(5, "\n \n//\n"))), (4, amid(" ".join(notice))), (5, amid("nothing of this kind")), (6, ""), (7, None)]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+    assert {r["doc_id"] for r in found} == {1, 2, 3, 4} and {r["family"] for r in found} == {"mit"}
+
+
+def test_licence_scan_of_odd_tables(spark):
+    columns = "doc_id long, text string, family string, words string"
+    text = "Released under the MIT License."
+    rows = [(None, text, "x", "y"), (1, text, None, None), (1, text, None, None), (2, "a " * 200_000 + "\n" + text, "", "")]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, columns)).where("confirmed").collect()
+    assert sorted((r["doc_id"] or 0, r["line"]) for r in found) == [(0, 0), (1, 0), (1, 0), (2, 1)]
+    assert licenses.scan_licenses(spark.createDataFrame([], columns)).count() == 0
