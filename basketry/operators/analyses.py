@@ -126,6 +126,14 @@ def unusual_moves(per_campaign: DataFrame, value: str, order: str, sds: float =
     return x.where((F.col("place") >= least + 1) & (F.abs("move") > sds * F.col("usual")) & (F.abs("move") > relative * F.abs("before"))).drop("place")
 
 
+def unusual_blanks(per_campaign: DataFrame, share: str, order: str, sds: float = 3.0, least_move: float = 0.1, least: int = 3) -> DataFrame:
+    """Campaigns whose share of blanks rose by more than so many standard deviations of all earlier moves and by more than least_move; fewer blanks are no problem."""
+    w = Window.orderBy(order)  # one row a campaign
+    x = per_campaign.withColumn("before", F.lag(share).over(w)).withColumn("place", F.row_number().over(w) - 1).withColumn("move", F.col(share) - F.col("before"))
+    x = x.withColumn("usual", F.stddev_samp("move").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return x.where((F.col("place") >= least + 1) & (F.col("move") > sds * F.col("usual")) & (F.col("move") > least_move)).drop("place")
+
+
 def same_habit_auc(df: DataFrame, score: str, label: str, habit: str) -> DataFrame:
     """AUC inside campaign and fifth of a habit, averaged by positives."""
     # a campaign's rows are ranked by habit, ties by household

@@ -176,3 +176,28 @@ def promotion_codes(t: Tables) -> DataFrame:
     key = ["product_id", "store_id", "week_no"]
     per = t.causal.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     return t.causal.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("display").alias("n_display"), F.count_distinct("mailer").alias("n_mailer")).crossJoin(per.agg(F.count_if(F.col("n") > 1).alias("n_repeated_keys")))
+
+
+def match_formula(t: Tables) -> DataFrame:
+    """Lines with a shop's own coupon discount: how many, the share whose sales less that discount exceed the sales, and both sums. No line gives a null share and sums."""
+    lines = t.transactions.where("match_disc_cents < 0")
+    above = F.avg((F.col("sales_cents") - F.col("match_disc_cents") > F.col("sales_cents")).cast("double"))
+    return lines.agg(F.count(F.lit(1)).alias("n_lines"), above.alias("share_above"), F.sum("sales_cents").alias("sales_cents"), F.sum("match_disc_cents").alias("match_disc_cents"))
+
+
+def input_checks(t: Tables, grid: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(name, actual, expected, passed): rows of the grid with mailed_flag and redeemed_flag, and lines whose week breaks the rule of days. passed is null for counts without an expected value."""
+    both = (F.col("mailed_flag") == 1) & (F.col("redeemed_flag") == 1)
+    of_grid = grid.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("mailed_flag") == 1).alias("mailed_rows"), F.count_if(both).alias("redeemed_mailed_rows"))
+    weeks = t.transactions.agg(F.count_if(F.ceil((F.col("day") + 2) / 7.0) != F.col("week_no")).alias("weeks_off_rule"))
+    names = ["rows", "mailed_rows", "redeemed_mailed_rows", "weeks_off_rule"]
+    wanted = {"weeks_off_rule": 0, **expected}
+    stacked = ", ".join(f"'{n}', {n}, CAST({wanted.get(n, 'NULL')} AS BIGINT)" for n in names)
+    return of_grid.crossJoin(weeks).selectExpr(f"stack({len(names)}, {stacked}) AS (name, actual, expected)").withColumn("passed", F.col("actual") == F.col("expected"))  # one row each
+
+
+def stop_on_failure(checked: DataFrame) -> None:
+    """Raise if a row of input_checks did not pass."""
+    failed = [r["name"] for r in checked.where("not passed").collect()]  # of four rows at most
+    if failed:
+        raise ValueError(f"input checks failed: {', '.join(failed)}")

@@ -113,3 +113,38 @@ def flag_stats(flagged: DataFrame) -> DataFrame:
     names = [c for c in flagged.columns if c.startswith("flag_")]
     row = flagged.agg(*[F.count_if(F.col(c)).alias(c) for c in names])
     return row.selectExpr("stack({}, {}) AS (flag, n)".format(len(names), ", ".join(f"'{c}', {c}" for c in names)))
+
+
+OLD_LIMIT = 100
+
+
+def level_table(values: DataFrame, limits: DataFrame, key: list[str]) -> DataFrame:
+    """One row a line that has a field in values: key and out_<field>, the worse of its high and low level."""
+    names = ["quantity", "sales", "unit_price", "retail_disc", "coupon_disc"]
+    worst = F.greatest("level_high", "level_low")
+    return levels(values, limits).groupBy(*key).agg(*[F.coalesce(F.max(F.when(F.col("field") == n, worst)), F.lit(0)).cast("long").alias(f"out_{n}") for n in names])
+
+
+def merge_levels(flagged: DataFrame, level_rows: DataFrame, key: list[str], old_limit: int = OLD_LIMIT) -> DataFrame:
+    """flagged with the out_ columns of level_rows, extreme_any and have_outliers.
+
+    The tables line up if both have the same keys, each once. If they do not, the levels are
+    left out: have_outliers is false, and flag_qty_outlier is the old rule of quantities above old_limit.
+    """
+    sides = flagged.select(*key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(level_rows.select(*key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    apart = sides.groupBy(*key).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a <> 1 or b <> 1")
+    if not apart.isEmpty():
+        return flagged.withColumn("flag_qty_outlier", F.col("quantity") > old_limit).withColumn("have_outliers", F.lit(False))
+    out = [c for c in level_rows.columns if c.startswith("out_")]
+    extreme = F.greatest(*out) == 2 if len(out) > 1 else F.col(out[0]) == 2
+    return flagged.join(level_rows, key).withColumn("extreme_any", extreme).withColumn("have_outliers", F.lit(True))
+
+
+def merge_stats(merged: DataFrame, old_limit: int = OLD_LIMIT) -> DataFrame:
+    """One row of counts over merge_levels' rows; big_qty is by the old rule."""
+    big, non_merch, no_department = F.col("quantity") > old_limit, F.col("is_non_merchandise"), F.col("no_department")
+    extreme = F.count_if("extreme_any") if "extreme_any" in merged.columns else F.lit(None).cast("long")
+    return merged.agg(
+        F.coalesce(F.bool_and("have_outliers"), F.lit(False)).alias("have_outliers"), F.count_if(non_merch).alias("non_merch"), F.count_if(big).alias("big_qty"), F.count_if(big & non_merch).alias("big_qty_non_merch"),
+        F.count_if(no_department).alias("no_dept"), F.count_if(no_department & F.col("flag_zero_line")).alias("no_dept_zero_line"), extreme.alias("extreme_any"),
+    )

@@ -32,4 +32,4 @@ def register(name: str, fn: Callable[[Tables], DataFrame], sql: str | None = Non
         ORACLE_SQL[name] = binding.sql(sql, **views)
 
 
-from . import queries_analyses, queries_data, queries_features, queries_metrics, queries_models, queries_spine  # noqa: E402, F401
+from . import queries_analyses, queries_candidates, queries_data, queries_features, queries_metrics, queries_models, queries_spine  # noqa: E402, F401
