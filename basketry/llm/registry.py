@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import filter_audit, vector_codes
 from .decontamination import op7_decontamination
+from .filter_audit import op13_filter_audit
 from .language_model import op8_lm_scoring
 from .licenses import op3_license_scan
 from .packing import op4_best_fit_packing
@@ -12,6 +14,7 @@ from .quality_rules import op9_quality_rules
 from .sharding import op2_sharding
 from .simhash import op6_simhash_dedup
 from .token_ids import op1_token_ids
+from .vector_codes import op11_vector_codes
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
@@ -24,6 +27,8 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vector_codes.sql(), "op13_filter_audit": filter_audit.SQL}
