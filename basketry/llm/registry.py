@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filter_audit, vector_codes
+from . import filter_audit, repeats, vector_codes
 from .decontamination import op7_decontamination
 from .filter_audit import op13_filter_audit
 from .language_model import op8_lm_scoring
@@ -11,6 +11,7 @@ from .packing import op4_best_fit_packing
 from .pii import op10_pii_surrogates
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op9_quality_rules
+from .repeats import op12_suffix_dedup
 from .sharding import op2_sharding
 from .simhash import op6_simhash_dedup
 from .token_ids import op1_token_ids
@@ -28,7 +29,8 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_vector_codes": op11_vector_codes,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vector_codes.sql(), "op13_filter_audit": filter_audit.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vector_codes.sql(), "op12_suffix_dedup": repeats.SQL, "op13_filter_audit": filter_audit.SQL}
