@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from basketry.llm import decontamination as d
 
@@ -31,15 +32,20 @@ def test_short_items_are_found_with_an_edit_at_any_place():
     assert got == want and len(want) > 700
 
 
-def test_recall_of_longer_items_at_the_bound():
-    rng = random.Random(6)
-    for length in (16, 17, 19, 20, 23, 24, 31, 40, 59, 80, 90, 200):
-        items = [[f"w{rng.randrange(400)}" for _ in range(length)] for _ in range(200)]
+@pytest.mark.parametrize("kind", d.KINDS, ids="-".join)
+def test_recall_of_longer_items_at_the_bound(kind):
+    """Whole items of 16 to 4,000 words with all the edits that the bound allows, of one kind, inside other words."""
+    rng, seeded = random.Random(6), np.random.default_rng(7)
+    for length, n in ((16, 100), (23, 100), (31, 100), (40, 100), (60, 100), (100, 60), (200, 40), (1200, 10), (4000, 6)):
+        items = [[f"w{rng.randrange(4000)}" for _ in range(length)] for _ in range(n)]
         made, texts = index(items), []
         for item in items:
-            changed = list(item)
-            for at in sorted(rng.sample(range(length), d.allowed_edits(length, d.SIMILARITY)), reverse=True):
-                changed[at : at + 1] = rng.choice(([], ["zz"], ["zz", changed[at]]))
-            texts.append(["x"] * 5 + changed + ["y"] * 5)
+            changed = d.edited(item, kind, d.allowed_edits(length, d.SIMILARITY), seeded)
+            texts.append(["x"] * 5 + ["zz" if w == -2 else w for w in changed] + ["y"] * 5)
         found = {(m[0], m[1]) for m in made.matches([ids_of(made, t) for t in texts])}
-        assert sum((k, k) in found for k in range(len(items))) >= d.RECALL * len(items), length
+        assert sum((k, k) in found for k in range(n)) >= d.RECALL * n, length
+
+
+def test_a_similarity_that_walks_cannot_reach_is_an_error():
+    with pytest.raises(ValueError, match="walks"):
+        d.Index([(1, " ".join(f"w{i}" for i in range(16)).encode())], 0.0)
