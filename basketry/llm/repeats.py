@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, table, written
 
-MATCH, CHUNK, BLOCK, BUCKET, LIMIT, TEXT = 50, 1 << 20, 1 << 24, 1 << 24, 1 << 26, 1 << 20
+MATCH, CHUNK, BLOCK, BUCKET, LIMIT, TEXT = 50, 1 << 20, 1 << 22, 1 << 24, 1 << 26, 1 << 20
 _RANDOM = np.random.default_rng(12).integers(0, 1 << 63, 320, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE, _STEP, _LAST = _RANDOM[:256], _RANDOM[256:316], _RANDOM[316:]
 
