@@ -91,8 +91,8 @@ def scored_line(df: DataFrame, x: str, slope, intercept, name: str) -> DataFrame
     return df.withColumn(name, F.greatest(F.lit(0.0), F.col(x) * slope + intercept))
 
 
-def propensity(df: DataFrame, features: list[str], treatment: str, folds: int = 5, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """df with `propensity`, each household scored by a model that never saw it."""
+def propensity(df: DataFrame, features: list[str], treatment: str, folds: int = 5, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """df with `propensity`, each household scored by a model that never saw it, cut to the overlap from low to high."""
     fold = F.pmod(F.xxhash64("household_key"), F.lit(folds))
     x, parts = df.withColumn("_fold", fold), []
     for k in range(folds):

@@ -62,7 +62,7 @@ def checks(tables: Tables) -> DataFrame:
     )
     n = tables.transactions.select("household_key").distinct().count() * tables.campaigns.count()
     households = tables.transactions.select("household_key").distinct()
-    n_mailed = tables.mailings.distinct().join(households, "household_key", "left_semi").count()
+    n_mailed = tables.mailings.select("household_key", "campaign").distinct().join(households, "household_key", "left_semi").count()
     n_redeemed = tables.redemptions.select("household_key", "campaign").distinct().count()
     pairs = [("rows", n), ("keys", n), ("mailed", n_mailed), ("redeemed", n_redeemed), ("redeemed_not_mailed", 0), ("no_first_day", 0), ("bad_duration", 0), ("more_in_window", 0)]
     stacked = ", ".join(f"'{name}', {name}, {expected}L" for name, expected in pairs)

@@ -33,7 +33,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         "campaign", F.col("p_partkey").alias("product_id"), F.concat(F.lit("U"), campaign.cast("string"), F.lit("_"), (F.col("p_partkey") % 5).cast("string")).alias("coupon_upc")
     )
     customer = read("customer")
-    mailings = customer.join(few, (F.col("c_custkey") * 11 + campaign * 17) % 10 < 3).select(F.col("c_custkey").alias("household_key"), "campaign")
+    mailings = customer.join(few, (F.col("c_custkey") * 11 + campaign * 17) % 10 < 3).select(F.col("c_custkey").alias("household_key"), "campaign", F.when(F.col("campaign") % 5 == 1, "A").otherwise("B").alias("mailed_type"))
     redemptions = (
         transactions.where("coupon_disc_cents < 0").join(coupons, "product_id").join(few.drop("campaign_type"), "campaign").where("day between start_day and end_day")
         .join(mailings, ["household_key", "campaign"], "left_semi").select("household_key", "day", "coupon_upc", "campaign")
@@ -72,7 +72,7 @@ VIEWS = {
     "campaigns": """SELECT (n_nationkey + 1)::BIGINT AS campaign, CASE WHEN n_regionkey = 0 THEN 'A' WHEN n_regionkey = 3 THEN 'C' ELSE 'B' END AS campaign_type,
         (700 + 70 * n_nationkey)::BIGINT AS start_day, (700 + 70 * n_nationkey + CASE WHEN n_regionkey = 3 THEN 90 ELSE 32 + 7 * n_regionkey END)::BIGINT AS end_day FROM nation""",
     "coupons": """SELECT campaign, p_partkey AS product_id, 'U' || campaign || '_' || (p_partkey % 5) AS coupon_upc FROM part, campaigns WHERE (p_partkey * 7 + campaign * 3) % 5 = 0""",
-    "mailings": """SELECT c_custkey AS household_key, campaign FROM customer, campaigns WHERE (c_custkey * 11 + campaign * 17) % 10 < 3""",
+    "mailings": """SELECT c_custkey AS household_key, campaign, CASE WHEN campaign % 5 = 1 THEN 'A' ELSE 'B' END AS mailed_type FROM customer, campaigns WHERE (c_custkey * 11 + campaign * 17) % 10 < 3""",
     "redemptions": """SELECT t.household_key, t.day, c.coupon_upc, c.campaign FROM tx t JOIN coupons c ON c.product_id = t.product_id JOIN campaigns k ON k.campaign = c.campaign AND t.day BETWEEN k.start_day AND k.end_day
         JOIN mailings m ON m.household_key = t.household_key AND m.campaign = c.campaign WHERE t.coupon_disc_cents < 0""",
     "causal": """SELECT p_partkey AS product_id, s.store_id::BIGINT AS store_id, w.week_no::BIGINT AS week_no, CASE WHEN (p_partkey + s.store_id + w.week_no) % 3 = 0 THEN '1' ELSE '0' END AS display,

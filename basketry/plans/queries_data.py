@@ -22,7 +22,7 @@ COUNTS = {
     "X0": "SELECT count(*) FILTER (WHERE household_key IS NULL) + count(*) FILTER (WHERE product_id IS NULL) + count(*) FILTER (WHERE basket_id IS NULL) FROM tx",
     "X1": f"SELECT count(*) FROM {_HH}", "X2a": _in("mailings", "household_key", _HH), "X2b": _in("redemptions", "household_key", _HH), "X2c": _in("demographics", "household_key", _HH),
     "X3": _in("tx", "product_id", "products"), "X4": _in("mailings", "campaign", "campaigns"), "X5": _in("coupons", "campaign", "campaigns"),
-    "X6": "SELECT count(*) FROM mailings JOIN campaigns USING (campaign) WHERE (CASE WHEN campaign % 5 = 1 THEN 'A' ELSE 'B' END) <> campaign_type",
+    "X6": "SELECT count(*) FROM mailings JOIN campaigns USING (campaign) WHERE mailed_type <> campaign_type",
     "X7": "SELECT count(*) FROM redemptions WHERE (household_key, campaign) NOT IN (SELECT household_key, campaign FROM mailings)",
     "X8": "SELECT count(*) FROM redemptions JOIN campaigns USING (campaign) WHERE day NOT BETWEEN start_day AND end_day",
     "X9": "SELECT count(*) FROM redemptions WHERE (campaign, coupon_upc) NOT IN (SELECT campaign, coupon_upc FROM coupons)",
@@ -35,7 +35,7 @@ COUNTS = {
     "Q3": _repeat("tx", "household_key, basket_id, day, week_no, product_id, store_id, quantity, sales_cents, retail_disc_cents, coupon_disc_cents"),
     "Q4a": "SELECT count(*) FROM tx WHERE retail_disc_cents > 0.5", "Q4b": "SELECT count(*) FROM tx WHERE coupon_disc_cents > 0.5", "Q4c": "SELECT count(*) FROM tx WHERE retail_disc_cents + coupon_disc_cents > 0.5",
     "I5": "SELECT count(*) FROM tx WHERE (retail_disc_cents > 0 AND retail_disc_cents <= 0.5) OR (coupon_disc_cents > 0 AND coupon_disc_cents <= 0.5)",
-    "Q5": "SELECT count(*) FROM tx WHERE quantity <= 0", "Q6": "SELECT count(*) FROM tx WHERE sales_cents <= 0", "Q7": "SELECT count(*) FROM tx WHERE quantity > 40",
+    "Q5": "SELECT count(*) FROM tx WHERE quantity <= 0", "Q6": "SELECT count(*) FROM tx WHERE sales_cents <= 0", "Q7": "SELECT count(*) FROM tx WHERE quantity > 100",
     "Q8": "SELECT count(*) FROM campaigns WHERE end_day > (SELECT max(day) FROM tx)",
     "Q9": "SELECT count(*) FROM (SELECT 1 FROM causal GROUP BY product_id, store_id, week_no HAVING count(*) > 1)",
     "I1": "SELECT count(*) FROM (SELECT DISTINCT household_key, campaign FROM mailings) JOIN campaigns USING (campaign) JOIN (SELECT household_key, min(day) AS first FROM tx GROUP BY ALL) USING (household_key) WHERE start_day - first < 182",

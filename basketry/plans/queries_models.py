@@ -9,10 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import column_sets as cs
 from ..operators import health as h
 from ..operators import metrics as m
 from ..operators import models as mo
-from ..operators import profile, spine, splits
+from ..operators import profile, selection, spine, splits
 from ..sources import ingest as i
 from . import binding
 from . import scored as s
@@ -166,7 +167,22 @@ def _uplift(make):
     return run
 
 
-with_p = lambda df: df.withColumn("p", F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.pmod(F.col("household_key") * 13 + F.col("campaign") * 7, F.lit(97)) / 97)))
+OVERLAP = (0.02, 0.98)
+
+
+def _uplift_by_propensity(make):
+    """As _uplift, with a fitted propensity in column p: out of fold by household, written once for all that read it."""
+
+    def run(t):
+        fitted = mo.propensity(rows_of(t, 3), NUMBERS, "mailed_flag", 5, *OVERLAP).withColumnRenamed("propensity", "p")
+        path = shared_path(t.campaigns.sparkSession, "propensity")
+        fitted.write.parquet(path)
+        x = t.campaigns.sparkSession.read.schema(fitted.schema).parquet(path).join(F.broadcast(splits.split_70_30(t.campaigns)), "campaign")
+        return m.uplift_extremes(make(x.where("part = 'train'"), x.where("part = 'test'")), "uplift", "label", "mailed_flag")
+
+    return run
+
+
 register("m1_forest", _classifier(mo.forest))
 register("m1_logistic", _classifier(mo.logistic))
 register("m1_boosted", _classifier(mo.boosted))
@@ -179,9 +195,9 @@ register("m2_line", lambda t: mo.line(_m2(t), "x", "y"), "SELECT regr_slope(y, x
 register("m2_benchmarks", lambda t: _m2(t).agg(F.avg("y").alias("mean"), F.median("y").alias("median")), "SELECT avg(y) AS mean, median(y) AS median FROM m2", rounded="mean median", **_R2)
 register("m2_median_line", lambda t: (lambda x: m.errors(mo.scored_line(x, "x", *mo.median_line(x, "x", "y"), "p"), "p", "y"))(_m2(t)))
 register("m3_t_learner", _uplift(lambda a, b: mo.t_learner(a, b, NUMBERS, "label", "mailed_flag")))
-register("m3_t_weighted", _uplift(lambda a, b: mo.t_learner(m.ipw(with_p(a), "p", "mailed_flag").where("in_overlap"), b, NUMBERS, "label", "mailed_flag", "ipw_weight")))
-register("m3_x_learner", _uplift(lambda a, b: mo.x_learner(with_p(a), with_p(b), NUMBERS, "label", "mailed_flag", "p")))
-register("m3_dr_learner", _uplift(lambda a, b: mo.dr_learner(with_p(a), with_p(b), NUMBERS, "label", "mailed_flag", "p")))
+register("m3_t_weighted", _uplift_by_propensity(lambda a, b: mo.t_learner(m.ipw(a, "p", "mailed_flag", *OVERLAP).where("in_overlap"), b, NUMBERS, "label", "mailed_flag", "ipw_weight")))
+register("m3_x_learner", _uplift_by_propensity(lambda a, b: mo.x_learner(a, b, NUMBERS, "label", "mailed_flag", "p")))
+register("m3_dr_learner", _uplift_by_propensity(lambda a, b: mo.dr_learner(a, b, NUMBERS, "label", "mailed_flag", "p")))
 register("propensity", lambda t: mo.propensity(rows_of(t, 3), NUMBERS, "mailed_flag").groupBy("mailed_flag").agg(F.avg("propensity").alias("mean"), F.count(F.lit(1)).alias("n")))
 
 
@@ -199,21 +215,33 @@ register("m3_entropy_weights", _entropy)
 register("sure_things", lambda t: (lambda a, b: judged(mo.forest(a.where("mailed_flag = 1"), NUMBERS, "label").score(b.where("mailed_flag = 1"))))(*parts(t, 3)))
 
 
-def _forward(t):
-    x = rows_of(t, 1)
+def _folds(t) -> list[tuple]:
     folds = {}
     for r in splits.forward_folds(t.campaigns, 1000, 7).select("test_campaign", "train_campaign").collect():  # campaign pairs only
         folds.setdefault(r[0], []).append(r[1])
-    return mo.forward_predict(x, sorted(folds.items()), {"logistic": lambda d: mo.logistic(d, FEW, "label"), "forest": lambda d: mo.forest(d, FEW, "label")}, "label")
+    return sorted((test, tuple(sorted(train))) for test, train in folds.items())
+
+
+#: What forward_predict chooses from: all numbers, fewer of them, a firmer penalty, and trees.
+CHOICES = {
+    "logistic": selection.Candidate(2, tuple(NUMBERS)), "logistic_firm": selection.Candidate(2, tuple(NUMBERS), 0.1), "logistic_few": selection.Candidate(1, tuple(FEW)),
+    "forest": selection.Candidate(3, make=lambda d: mo.forest(d, NUMBERS, "label")),
+}
 
 
-register("forward_predict", lambda t: _forward(t).groupBy("candidate_id", "campaign").agg(F.count(F.lit(1)).alias("n")))
+def _forward(t):
+    """Every candidate's predictions of every test campaign, and which of them its own finished campaigns choose."""
+    rules = selection.Rules(first_test_day=1000, locked=2, measure="capture_avg")
+    return selection.nested_selection(rows_of(t, 1), t.campaigns, CHOICES, "logistic", "label", rules, shared_path(t.campaigns.sparkSession, "predictions")).predictions
+
+
+register("forward_predict", lambda t: _forward(t).groupBy("candidate_id", "campaign", "is_default", "chosen", "locked").agg(F.count(F.lit(1)).alias("n")))
 _WITHIN = "SELECT '{id}' AS candidate_id, sum(auc * n) / sum(n) AS score FROM (SELECT sum(n) AS n, sum(pos * (2 * below + n - pos))::DOUBLE / nullif(2 * sum(pos) * (sum(n) - sum(pos)), 0) AS auc FROM (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY campaign ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT campaign, {c} AS s, count(*) AS n, sum(redeemed) AS pos FROM scored GROUP BY ALL)) GROUP BY campaign) WHERE auc IS NOT NULL"
 _CANDIDATES = {"a": "score", "b": "score_b", "c": "usual_spend", "d": "propensity"}
 register("choose_candidate", lambda t: (lambda d: mo.choose_candidate(reduce(DataFrame.unionByName, [m.within_auc(d, c, "redeemed", ["campaign"]).select(F.lit(k).alias("candidate_id"), F.col("auc").alias("score"), F.lit(i).alias("complexity")) for i, (k, c) in enumerate(_CANDIDATES.items())]), "a", 0.002, 0.001))(s.scored(t)),
          f"""SELECT candidate_id, score FROM (SELECT *, max(score) OVER () AS top, max(score) FILTER (candidate_id = 'a') OVER () AS base FROM ({' UNION ALL '.join(_WITHIN.format(id=k, c=c) for k, c in _CANDIDATES.items())}))
     WHERE candidate_id = 'a' OR (score - base >= 0.002 AND score >= top - 0.001) ORDER BY candidate_id = 'a', candidate_id LIMIT 1""", rounded="score", **M)
-register("permutation_importance", lambda t: (lambda a, b: mo.permutation_importance(mo.logistic(a, NUMBERS, "label"), b, NUMBERS, "label"))(*parts(t, 1)))
+register("permutation_importance", lambda t: cs.permutation_importance(rows_of(t, 1), _folds(t), NUMBERS, "label"))
 
 
 def _importances(t):
@@ -226,11 +254,29 @@ GROUPS = {
     "coupons": [c for c in NUMBERS if c.startswith("coupon_")], "past campaigns": [c for c in NUMBERS if c.startswith(("past_", "redeemed_last", "other_campaigns"))],
     "offer": [c for c in NUMBERS if c.startswith("campaign_")], "household": [c for c in NUMBERS if c.endswith("_code")],
 }
-_logistic_log = lambda d, f: mo.logistic(d, f, "label", penalty=0.01, logs=True)
 register("importances", _importances)
-register("ablation", lambda t: (lambda a, b: mo.ablation(a, b, GROUPS, _logistic_log, "label"))(*parts(t, 1)))
-register("spline_logistic", lambda t: (lambda a, b: judged(mo.spline_logistic(a, b, FEW, "label")))(*parts(t, 1)))
-register("by_type", lambda t: (lambda a, b: judged(mo.by_type(a, b, lambda d: _logistic_log(d, FEW))))(*parts(t, 1)))
+
+
+def in_logs(x: DataFrame) -> DataFrame:
+    return x.withColumns(cs.signed_logs(NUMBERS))
+
+
+def _add_one(t):
+    curve = cs.add_one_curve(in_logs(rows_of(t, 1)), _folds(t), GROUPS, "label")
+    rows = [(r["step"], r["added"], float(r["measure"]), r["gain"] if r["gain"] is None else float(r["gain"])) for r in curve]
+    return t.campaigns.sparkSession.createDataFrame(rows, "step long, added string, capture_avg double, gain double")  # a row a group
+
+
+def _by_type(t):
+    kinds = splits.split_70_30(t.campaigns).select("campaign", "part").join(t.campaigns.select("campaign", "campaign_type"), "campaign").collect()  # of a checked size
+    of = lambda part: {g: tuple(r["campaign"] for r in kinds if r["part"] == part and ("A" if r["campaign_type"] == "A" else "other") == g) for g in ("A", "other")}
+    return judged(cs.by_group(in_logs(rows_of(t, 1)), of("train"), of("test"), NUMBERS, "label"))
+
+
+register("ablation", lambda t: cs.ablation(in_logs(rows_of(t, 1)), _folds(t), GROUPS, "label"))
+register("add_one_curve", _add_one)
+register("spline_logistic", lambda t: (lambda a, b: judged(mo.spline_logistic(a, b, NUMBERS, "label")))(*parts(t, 1)))
+register("by_type", _by_type)
 _CROSSED = ["coupon_lines_per_week_26w", "coupon_commodities_26w", "coupon_trip_share_26w", "past_redemptions"]
 register("type_interactions", lambda t: mo.type_interactions(h.feature_table(t), _CROSSED).select("household_key", "campaign", *[f"{c}_x_type_a" for c in _CROSSED]), f"SELECT household_key, campaign, {', '.join(f'if(campaign_type = chr(65), {c}, 0) AS {c}_x_type_a' for c in _CROSSED)} FROM features", **FEATURES)
 _FOLDS = "SELECT a.campaign AS test_campaign, b.campaign AS train_campaign, b.end_day FROM campaigns a JOIN campaigns b ON b.end_day < a.start_day - 7 WHERE a.start_day >= 1000"

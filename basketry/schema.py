@@ -17,7 +17,7 @@ class Tables:
     transactions: household_key, basket_id, day, week_no, product_id, store_id, quantity, sales_cents, retail_disc_cents, coupon_disc_cents
     campaigns:    campaign, campaign_type, start_day, end_day (a closed interval)
     coupons:      campaign, product_id, coupon_upc
-    mailings:     household_key, campaign
+    mailings:     household_key, campaign, and mailed_type if the mailing names the type of its campaign
     redemptions:  household_key, day, coupon_upc, campaign
     causal:       product_id, store_id, week_no, display, mailer
     products:     product_id, department, commodity, brand
