@@ -1,15 +1,21 @@
 """Forward chaining scores every test campaign that has earlier ones."""
 
-from basketry.operators import splits
-from basketry.plans import binding, catalog  # noqa: F401 (the catalog loads the queries)
+from types import SimpleNamespace
 
+from basketry.operators import selection, splits
+from basketry.plans import binding, catalog  # noqa: F401 (the catalog loads the queries)
 
 
 def test_forward_predict_takes_every_fold(spark, monkeypatch):
     from basketry.plans import queries_models as q
 
     t, got = binding.tables(spark, "/root/testdata/sf0.001"), {}
-    monkeypatch.setattr(q.mo, "forward_predict", lambda table, folds, candidates, label: got.update(folds))
+
+    def judged(table, campaigns, candidates, default, label, rules, path):
+        got.update(selection.Calendar(table, campaigns, label).outer(rules))
+        return SimpleNamespace(predictions=None)
+
+    monkeypatch.setattr(q.selection, "nested_selection", judged)
     q._forward(t)
     want = {}
     for r in splits.forward_folds(t.campaigns, 1000, 7).collect():
