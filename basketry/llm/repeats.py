@@ -3,9 +3,14 @@
 Every string of `match` bytes contains a core: of its substrings of CORE bytes
 (half a string) the leftmost with the smallest hash. Neighbouring strings with
 the same core are one fragment, so a fragment is at most 1.5 strings long and
-all equal strings of the corpus lie in fragments with equal cores. Fragments
-are dealt to buckets by their cores, packed into compressed blobs; a bucket is
-a few MB whatever the size of the corpus, for their number grows with it.
+all equal strings of the corpus lie in fragments with equal cores. Documents
+are written as blocks of some MB. First each block sends the hashes of its
+cores, four bytes each, to be told those that another block has too. Then only
+fragments whose core is in several blocks, or in several documents of their own
+block, are dealt to buckets by their cores, packed into compressed blobs; a
+bucket is a few MB whatever the size of the corpus, for their number grows with
+it. A core that is taken for shared by mistake (equal short hashes) costs its
+fragments' way and no more.
 
 In a bucket, the fragments whose cores occur in several documents are joined to one text,
 whose suffixes are sorted; the Burrows-Wheeler transform of that order is
@@ -17,10 +22,10 @@ known is not followed, and after `match` rounds the places still open have at
 least `match` bytes in common. The runs between are the repeated strings; each
 takes the smallest doc_id of its suffixes.
 
-Skew: the texts of a task's batch are searched for equal fragments first. Of
+Skew: a block is searched for equal fragments first. Of
 those, only the ones of the smallest doc_id are sent on; the others start in a
 document with a smaller doc_id by definition. So a passage that a third of all
-documents share sends a row for each batch, not for each document. A bucket
+documents share sends a row for each block, not for each document. A bucket
 that is still over LIMIT bytes (one core in very many surroundings) is not
 held: its fragments are dealt again by cores that are longer to the left or to
 the right, each string by one of them, until the core is the whole string.
@@ -34,10 +39,11 @@ import struct
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, written
+from .common import deleted, map_batches, scratch_path, table, written
 
 MATCH, CHUNK, BLOCK, BUCKET, LIMIT, TEXT = 50, 1 << 20, 1 << 22, 1 << 24, 1 << 26, 1 << 20
 _RANDOM = np.random.default_rng(12).integers(0, 1 << 63, 320, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -316,6 +322,8 @@ def finer(own: Fragments, match: int, core: int) -> Fragments:
 
 def dealt(own: Fragments, buckets: int):
     """Rows (bucket, blob) of fragments."""
+    if not len(own):
+        return
     bucket = (own.key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ordered = bucket[order]
@@ -324,10 +332,11 @@ def dealt(own: Fragments, buckets: int):
         yield int(ordered[a]), own.take(order[a:b]).packed()
 
 
-def blobs(docs: DataFrame, match: int, buckets: int) -> DataFrame:
-    """Rows (bucket, blob): fragments to compare, or spans that are removed already. docs has doc, variant and text (bytes)."""
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Rows (block, docs, text): some documents in ascending order of doc. docs has doc, variant and text (bytes). The numbers of blocks are those of one attempt of a task, so the rows are to be written before use."""
 
     def run(batches):
+        block = TaskContext.get().partitionId() << 33
         for batch in batches:
             doc = batch.column("doc").to_numpy()
             order = np.argsort(doc, kind="stable")
@@ -338,17 +347,103 @@ def blobs(docs: DataFrame, match: int, buckets: int) -> DataFrame:
             at = 0
             while at < len(doc):
                 to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, side="right")) - 1)
-                own = fragments(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], doc[at:to], variant[at:to], match)
+                plain = doc[at:to].tobytes() + (bounds[at : to + 1] - bounds[at]).tobytes() + variant[at:to].tobytes()
+                yield {"block": [block], "docs": [zstandard.compress(plain, 1)], "text": [zstandard.compress(data[bounds[at] : bounds[to]].tobytes(), 1)]}
+                block, at = block + 1, to
+
+    return map_batches(docs, run, "block long, docs binary, text binary")
+
+
+def block_fragments(docs: bytes, text: bytes, match: int) -> Fragments:
+    plain = zstandard.decompress(docs)
+    n = (len(plain) - 8) // 20
+    own = np.frombuffer(plain, "i8", n), np.frombuffer(plain, "i8", n + 1, 8 * n), np.frombuffer(plain, "u4", n, 16 * n + 8)
+    return fragments(np.frombuffer(zstandard.decompress(text), np.uint8), own[1], own[0], own[2], match)
+
+
+def short_keys(key: np.ndarray, parts: int) -> np.ndarray:
+    """32 bits of each key below the number of its part."""
+    return key % np.uint64(parts) << np.uint64(32) | key // np.uint64(parts) & np.uint64(0xFFFFFFFF)
+
+
+def core_keys(blocks: DataFrame, match: int, parts: int) -> DataFrame:
+    """Rows (part, block, keys): the distinct short keys of a block's cores, ascending."""
+
+    def run(batches):
+        for batch in batches:
+            for block, docs, text in zip(batch.column("block").to_pylist(), batch.column("docs"), batch.column("text"), strict=True):
+                keys = np.unique(short_keys(block_fragments(docs.as_py(), text.as_py(), match).key, parts))
+                part = (keys >> np.uint64(32)).astype(np.int64)
+                begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))[: len(part)])
+                ends = np.append(begins[1:], len(part))
+                low = keys.astype(np.uint32)
+                yield {"part": part[begins], "block": [block] * len(begins), "keys": [low[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=False)]}
+
+    return map_batches(blocks, run, "part long, block long, keys binary")
+
+
+def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
+    """Of rows (part, block, keys), the keys that several blocks have; blocks without any have no row."""
+
+    def closed(part, found):
+        keys = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(k, np.uint32) for _, k in found)])
+        keys.sort()
+        again = keys[1:][keys[1:] == keys[:-1]]  # a block sends a key once
+        out = {"part": [], "block": [], "keys": []}
+        for block, own in found:
+            own = np.frombuffer(own, np.uint32)
+            own = own[np.append(again, 0)[np.searchsorted(again, own)] == own] if len(again) else own[:0]
+            if len(own):
+                for c, x in zip(out, (part, block, own.tobytes()), strict=True):
+                    out[c].append(x)
+        return out
+
+    def run(batches):
+        part, found = None, []
+        for batch in batches:
+            for p, block, keys in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "keys")), strict=True):
+                if p != part:
+                    yield closed(part, found)
+                    part, found = p, []
+                found.append((block, keys))
+        yield closed(part, found)
+
+    return map_batches(rows.repartition(parts, "part").sortWithinPartitions("part"), run, "part long, block long, keys binary")
+
+
+def candidates(own: Fragments, shared: np.ndarray, parts: int) -> Fragments:
+    """The fragments whose core is in several documents here, or among the short keys `shared` (ascending)."""
+    order = np.argsort(own.key, kind="stable")  # and by doc
+    key, doc = own.key[order], own.doc[order]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+    ends = np.append(begins[1:], len(key))[: len(begins)]
+    kept = doc[begins] < doc[ends - 1]
+    if len(shared):
+        short = short_keys(key[begins], parts)
+        kept |= shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short
+    return own.take(np.sort(order[np.repeat(kept, ends - begins)]))
+
+
+def blobs(blocks: DataFrame, match: int, buckets: int, parts: int) -> DataFrame:
+    """Rows (bucket, blob): fragments to compare, or spans that are removed already. blocks has the rows of blocks_of, written."""
+    shared = shared_keys(core_keys(blocks, match, parts), parts)
+    lists = shared.groupBy("block").agg(F.collect_list(F.struct("part", "keys")).alias("shared"))  # no more than the block's own keys
+    both = blocks.join(lists, "block", "left")
+
+    def run(batches):
+        for batch in batches:
+            for docs, text, lists in zip(batch.column("docs"), batch.column("text"), batch.column("shared").to_pylist(), strict=True):
+                keys = [np.uint64(x["part"]) << np.uint64(32) | np.frombuffer(x["keys"], np.uint32).astype(np.uint64) for x in lists or []]
+                own = candidates(block_fragments(docs.as_py(), text.as_py(), match), np.sort(np.concatenate([np.zeros(0, np.uint64), *keys])), parts)
                 sent, gone = local_repeats(own)
                 rows = list(dealt(sent, buckets))
                 if len(gone):
                     spans = merged(gone.doc, gone.variant, gone.pos, gone.pos + gone.size)
                     plain = b"".join(np.ascontiguousarray(x.astype(t)).tobytes() for x, t in zip(spans, ("i8", "u4", "i8", "i8"), strict=True))
-                    rows.append((int(doc[at] * 31 + variant[at]) % buckets, b"R" + zstandard.compress(plain, 1)))
+                    rows.append((int(own.doc[0] * 31 + own.variant[0]) % buckets, b"R" + zstandard.compress(plain, 1)))
                 yield {"bucket": [r[0] for r in rows], "blob": [r[1] for r in rows]}
-                at = to
 
-    return map_batches(docs, run, "bucket long, blob binary")
+    return map_batches(both, run, "bucket long, blob binary")
 
 
 def compared(rows: DataFrame, match: int, core: int, buckets: int, limit: int) -> DataFrame:
@@ -397,10 +492,17 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, bucket_bytes: int = BUCK
     """doc, variant, begin and end (bytes) of spans that are removed, several a document and overlapping; docs has doc, variant and text (bytes), and no null doc."""
     core = core_length(match)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-5 * total // bucket_bytes))  # fragments hold some 4.5 bytes for each byte of text
-    rows, found = blobs(docs, match, buckets), []
+    buckets = max(1, -(-5 * total // bucket_bytes))  # fragments hold some 4.5 bytes for each byte of text, if all are sent
+    parts = max(1, -(-2 * total // bucket_bytes))  # a core for each 14 bytes or so: some 600,000 keys
+    path = scratch_path(docs.sparkSession, "blocks")
+    one_by_one = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}  # rows of a MB are not to gather by the hundred
+    blocks = blocks_of(docs)
+    blocks.write.options(compression="uncompressed", **one_by_one).parquet(path)
+    rows, found = blobs(docs.sparkSession.read.schema(blocks.schema).parquet(path), match, buckets, parts), []
     while True:
         out = written(compared(rows, match, core, buckets, limit), "repeats", "zstd")
+        if not found:
+            deleted(docs.sparkSession, path)
         found.append(out.where("blob is null").select("doc", "variant", "begin", "end"))
         rows = out.where("blob is not null").select("bucket", "blob")
         if core >= match or rows.isEmpty():
