@@ -5,7 +5,7 @@ Every string of `match` bytes contains a core: of its substrings of CORE bytes
 the same core are one fragment, so a fragment is at most 1.5 strings long and
 all equal strings of the corpus lie in fragments with equal cores. Documents
 are written as blocks of some MB. First each block sends the hashes of its
-cores, four bytes each, to be told those that another block has too. Then only
+cores, 28 bits each, to be told those that another block has too. Then only
 fragments whose core is in several blocks, or in several documents of their own
 block, are dealt to buckets by their cores, packed into compressed blobs; a
 bucket is a few MB whatever the size of the corpus, for their number grows with
@@ -82,10 +82,44 @@ def leftmost_minima(h: np.ndarray, window: int) -> np.ndarray:
     return joined(h, at, window - size)[1] if size < window else at
 
 
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: this compresses better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(-1)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending numbers of 32 bits as compressed differences."""
+    return zstandard.compress(planes(np.diff(keys, prepend=np.uint32(0))), 1)
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    raw = zstandard.decompress(blob)
+    return np.cumsum(from_planes(raw, "u4", len(raw) // 4), dtype=np.uint32)
+
+
+def equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct text, for each row the number of its text); by a hash, checked byte by byte."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    words, h = wide.view(np.uint64), np.zeros(len(rows), np.uint64)
+    for i in range(words.shape[1]):
+        h = (h ^ words[:, i]) * _STEP[i]
+        h ^= h >> np.uint64(29)
+    _, lead, of = np.unique(h, return_index=True, return_inverse=True)
+    if not np.array_equal(words, words[lead[of]]):  # two texts with one hash
+        _, lead, of = np.unique(rows.view(f"S{rows.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+    return lead, of
+
+
 class Fragments:
-    """Columns of fragments: key (hash of the core), doc, variant (tells documents with one doc_id apart), pos (in the document), off (of the core in the fragment), size, at (in data)."""
+    """Columns of fragments: key (hash of the core; on the way its upper half, for the lower has chosen the bucket), doc, variant (tells documents with one doc_id apart), pos (in the document), off (of the core in the fragment), size, at (in data)."""
 
-    PLAIN = (("key", "u8"), ("doc", "i8"), ("variant", "u4"), ("pos", "i8"), ("off", "u1"), ("size", "u1"))
+    PLAIN = (("key", "u4"), ("doc", "i8"), ("variant", "u4"), ("pos", "i8"), ("off", "u1"), ("size", "u1"))
 
     def __init__(self, data: np.ndarray, **columns: np.ndarray):
         self.data, self.columns = data, columns
@@ -112,8 +146,9 @@ class Fragments:
         sizes = self.size.astype(np.int64)
         ends = np.cumsum(sizes)
         flat = self.data[np.repeat(self.at - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        plain = b"".join(np.ascontiguousarray(self.columns[k].astype(t)).tobytes() for k, t in self.PLAIN)
-        return b"F" + zstandard.compress(struct.pack("<q", len(self)) + plain + flat.tobytes(), 1)
+        columns = self.columns | {"key": self.key >> np.uint64(32)}
+        plain = b"".join(planes(columns[k].astype(t)) for k, t in self.PLAIN)
+        return b"F" + zstandard.compress(struct.pack("<q", len(self)) + plain + flat.tobytes(), 3)
 
     @classmethod
     def joined(cls, blobs: list[bytes]) -> Fragments:
@@ -122,7 +157,7 @@ class Fragments:
             raw = zstandard.decompress(blob[1:])
             n, at, own = struct.unpack("<q", raw[:8])[0], 8, {}
             for k, t in cls.PLAIN:
-                own[k] = np.frombuffer(raw, t, n, at)
+                own[k] = from_planes(raw, t, n, at)
                 at += n * np.dtype(t).itemsize
             ends = np.cumsum(own["size"].astype(np.int64))
             own["at"] = before + ends - own["size"]
@@ -288,11 +323,17 @@ def bucket_repeats(own: Fragments, match: int) -> tuple[np.ndarray, ...]:
         to = max(at + 1, int(np.searchsorted(totals[borders], totals[borders[at]] + TEXT, side="right")) - 1)
         group = own.take(slice(borders[at], borders[to] if to < len(borders) else len(own)))
         rows = group.matrix(width)
-        distinct, lead, of = np.unique(rows.view(f"S{width + 1}").reshape(-1), return_index=True, return_inverse=True)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
+        lead, of = equal_rows(rows)
+        least = np.full(len(lead), np.iinfo(np.int64).max)
         np.minimum.at(least, of, group.doc)
         sizes = rows[lead, -1].astype(np.int64)
-        gone = smallest_docs(rows[lead, :-1], sizes, least, match)[of] < group.doc[:, None]
+        # a text that no other shares a core with has its strings alone: nothing is to be ordered
+        _, number, texts = np.unique(group.key[lead], return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(texts[number] > 1)
+        low = np.where(np.arange(width - match + 1) <= sizes[:, None] - match, least[:, None], np.iinfo(np.int64).max)
+        if len(mixed):
+            low[mixed] = smallest_docs(rows[lead[mixed], :-1], sizes[mixed], least[mixed], match)
+        gone = low[of] < group.doc[:, None]
         hit = gone.any(axis=1)
         # strings of one fragment start less than `match` apart, so what they cover is one span
         begin, end = gone.argmax(axis=1), gone.shape[1] - gone[:, ::-1].argmax(axis=1) - 1 + match
@@ -348,7 +389,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             while at < len(doc):
                 to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, side="right")) - 1)
                 plain = doc[at:to].tobytes() + (bounds[at : to + 1] - bounds[at]).tobytes() + variant[at:to].tobytes()
-                yield {"block": [block], "docs": [zstandard.compress(plain, 1)], "text": [zstandard.compress(data[bounds[at] : bounds[to]].tobytes(), 1)]}
+                yield {"block": [block], "docs": [zstandard.compress(plain, 1)], "text": [zstandard.compress(data[bounds[at] : bounds[to]].tobytes(), 6)]}
                 block, at = block + 1, to
 
     return map_batches(docs, run, "block long, docs binary, text binary")
@@ -362,8 +403,8 @@ def block_fragments(docs: bytes, text: bytes, match: int) -> Fragments:
 
 
 def short_keys(key: np.ndarray, parts: int) -> np.ndarray:
-    """32 bits of each key below the number of its part."""
-    return key % np.uint64(parts) << np.uint64(32) | key // np.uint64(parts) & np.uint64(0xFFFFFFFF)
+    """28 bits of each key below the number of its part."""
+    return key % np.uint64(parts) << np.uint64(32) | key // np.uint64(parts) & np.uint64(0xFFFFFFF)
 
 
 def core_keys(blocks: DataFrame, match: int, parts: int) -> DataFrame:
@@ -377,7 +418,7 @@ def core_keys(blocks: DataFrame, match: int, parts: int) -> DataFrame:
                 begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))[: len(part)])
                 ends = np.append(begins[1:], len(part))
                 low = keys.astype(np.uint32)
-                yield {"part": part[begins], "block": [block] * len(begins), "keys": [low[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=False)]}
+                yield {"part": part[begins], "block": [block] * len(begins), "keys": [packed_keys(low[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=False)]}
 
     return map_batches(blocks, run, "part long, block long, keys binary")
 
@@ -386,15 +427,15 @@ def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
     """Of rows (part, block, keys), the keys that several blocks have; blocks without any have no row."""
 
     def closed(part, found):
-        keys = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(k, np.uint32) for _, k in found)])
+        keys = np.concatenate([np.zeros(0, np.uint32), *(unpacked_keys(k) for _, k in found)])
         keys.sort()
         again = keys[1:][keys[1:] == keys[:-1]]  # a block sends a key once
         out = {"part": [], "block": [], "keys": []}
         for block, own in found:
-            own = np.frombuffer(own, np.uint32)
+            own = unpacked_keys(own)
             own = own[np.append(again, 0)[np.searchsorted(again, own)] == own] if len(again) else own[:0]
             if len(own):
-                for c, x in zip(out, (part, block, own.tobytes()), strict=True):
+                for c, x in zip(out, (part, block, packed_keys(own)), strict=True):
                     out[c].append(x)
         return out
 
@@ -433,7 +474,7 @@ def blobs(blocks: DataFrame, match: int, buckets: int, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for docs, text, lists in zip(batch.column("docs"), batch.column("text"), batch.column("shared").to_pylist(), strict=True):
-                keys = [np.uint64(x["part"]) << np.uint64(32) | np.frombuffer(x["keys"], np.uint32).astype(np.uint64) for x in lists or []]
+                keys = [np.uint64(x["part"]) << np.uint64(32) | unpacked_keys(x["keys"]).astype(np.uint64) for x in lists or []]
                 own = candidates(block_fragments(docs.as_py(), text.as_py(), match), np.sort(np.concatenate([np.zeros(0, np.uint64), *keys])), parts)
                 sent, gone = local_repeats(own)
                 rows = list(dealt(sent, buckets))
@@ -492,7 +533,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, bucket_bytes: int = BUCK
     """doc, variant, begin and end (bytes) of spans that are removed, several a document and overlapping; docs has doc, variant and text (bytes), and no null doc."""
     core = core_length(match)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-5 * total // bucket_bytes))  # fragments hold some 4.5 bytes for each byte of text, if all are sent
+    buckets = max(1, -(-2 * total // bucket_bytes))  # fragments hold some 4.5 bytes for each byte of text, but not all are sent; up to `limit` a bucket is held
     parts = max(1, -(-2 * total // bucket_bytes))  # a core for each 14 bytes or so: some 600,000 keys
     path = scratch_path(docs.sparkSession, "blocks")
     one_by_one = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}  # rows of a MB are not to gather by the hundred
