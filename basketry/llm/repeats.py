@@ -84,7 +84,7 @@ def leftmost_minima(h: np.ndarray, window: int) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """All first bytes, then all second ones and so on: this compresses better."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def from_planes(raw: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:

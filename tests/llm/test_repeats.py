@@ -104,3 +104,31 @@ def test_texts_longer_than_a_chunk(spark, monkeypatch):
         removed.setdefault(int(d), []).append((int(a), int(b)))
     for i, n_bytes, n_removed, n_spans, _ in brute(rows, 50):
         assert sum(b - a for a, b in removed.get(i, [])) == n_removed and len(removed.get(i, [])) == n_spans, (i, n_bytes)
+
+
+def test_keys_and_columns_come_back():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 1000):
+        keys = np.unique(rng.integers(0, 1 << 28, n)).astype(np.uint32)
+        assert np.array_equal(repeats.unpacked_keys(repeats.packed_keys(keys)), keys)
+        wide = rng.integers(-(1 << 60), 1 << 60, n)
+        assert np.array_equal(repeats.from_planes(b"xx" + repeats.planes(wide), "i8", n, 2), wide)
+
+
+def test_equal_rows_by_bytes_when_hashes_are_equal(monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = rng.integers(0, 2, (300, 9), dtype=np.uint8)
+    rows[:, -1] = 9
+    for step in (repeats._STEP, np.zeros(60, np.uint64)):  # zeros: all hashes are equal
+        monkeypatch.setattr(repeats, "_STEP", step)
+        lead, of = repeats.equal_rows(rows)
+        assert np.array_equal(rows[lead[of]], rows) and len(np.unique(rows, axis=0)) == len(lead)
+
+
+def test_candidates_are_cores_of_several_documents_or_shared_ones():
+    same, alone = b"the same passage in two documents of one block, word for word. ", bytes(range(97, 123)) * 3
+    data = [same, same, alone]
+    own = repeats.fragments(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), np.array([1, 2, 3]), np.zeros(3, np.uint32), 50)
+    assert set(repeats.candidates(own, np.zeros(0, np.uint64), 7).doc.tolist()) == {1, 2}
+    other = np.unique(repeats.short_keys(own.key[own.doc == 3], 7))
+    assert set(repeats.candidates(own, other, 7).doc.tolist()) == {1, 2, 3}
