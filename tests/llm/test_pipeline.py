@@ -43,3 +43,17 @@ def test_stages_on_odd_and_empty_tables(spark, docs, no_docs):
             assert out.columns == docs.columns and out.count() <= docs.count()
         else:
             assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_stages_keep_columns_with_their_own_names(spark, docs):
+    import corpus_pipeline as c
+
+    names = ("n_entities", "_rejected", "_kept", "_found")
+    more = docs
+    for name in names:
+        more = more.selectExpr("*", f"concat('{name}', coalesce(doc_id, 0)) as {name}")
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, more, D)
+        assert out.columns == more.columns, name
+        assert sorted(r["doc_id"] or 0 for r in out.collect()) == sorted(r["doc_id"] or 0 for r in stage(spark, docs, D).collect()), name
+        assert all(r[n] == f"{n}{r['doc_id'] or 0}" for r in out.select("doc_id", *names).collect() for n in names), name
