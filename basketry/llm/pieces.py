@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space beyond ASCII. Texts with such characters are cut by the pattern itself.
 WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-MEMO_ENTRIES, MEMO_BYTES, BATCH_BYTES = 800_000, 64, 1 << 24
+MEMO_ENTRIES, MEMO_BYTES, BATCH_BYTES = 400_000, 64, 1 << 23
 _SPACE, _WORD, _MARK = (np.zeros(256, bool) for _ in range(3))
 _SPACE[[*range(9, 14), 32]] = True
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
