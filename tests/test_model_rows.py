@@ -44,3 +44,22 @@ def test_past_campaigns_with_ties_repeated_redemptions_and_the_cutoffs_own_day(s
         (7, 31): (3, 3, 2, 1), (8, 31): (1, 3, 1, 0), (9, 31): (1, 2, 1, 1),
     }
     assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_columns_asked_for_are_those_of_the_whole_profile_and_make_nothing_else(spark, tables):
+    rows = profile.cutoffs(health.chosen_rows(tables, health.MODEL_ROWS[2]))
+    whole = profile.profiles(tables, rows)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joins = {}
+    for asked in (["spend_per_week_26w"], [*profile.OF_PRODUCTS, "spend_per_week_8w"], list(profile.OF_PAST), [*profile.OF_KINDS, *profile.OF_LIVE], list(profile.OF_DEMOGRAPHICS), queries_models.FEW, queries_models.NUMBERS):
+        got, want = profile.profiles_of(tables, rows, asked), whole.select(*profile.KEY, *asked)
+        assert got.columns == want.columns and got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+        joins[asked[0]] = plan(got)
+    assert "part.parquet" in joins["n_departments_26w"] and "part.parquet" not in joins["spend_per_week_26w"]
+
+
+def test_a_line_of_one_number_asks_for_no_other(spark, monkeypatch):
+    asked, make = [], profile.profiles_of
+    monkeypatch.setattr(profile, "profiles_of", lambda t, rows, columns: asked.append(columns) or make(t, rows, columns))
+    queries_models._m2(binding.tables(spark, D))
+    assert asked == [["spend_per_week_26w"]]
