@@ -10,6 +10,9 @@ compared with the smallest one. Where that leaves a bucket in several
 components, its members are dealt in chunks of CHUNK to cells, one for each two
 chunks, and pairs not yet linked are compared there; so no pair of a bucket is left
 out, and no task holds more than two chunks.
+
+With simhash, SimHash links of op6 are drawn between the same nodes as well, so
+a group may hold links of both kinds.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, ship, text_bytes, written
 from .components import components
+from .simhash import fingerprint, fingerprint_links
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BUCKET, CHUNK, MEMO = 5, 0.8, 16, 4, 24, 256, 600_000
 _ODD = np.random.default_rng(17).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,14 +80,16 @@ def bands(found: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+def _sketches(docs: DataFrame, shingle: int, fingerprints: bool = False) -> DataFrame:
     def run(batches):
         words = Words()
         for batch in batches:
             sets = [shingles(t, words, shingle) for t in batch["text"]]
-            yield {"doc_id": batch["doc_id"], "row": batch["row"], "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]}
+            fps = {"fp": np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)} if fingerprints else {}
+            yield {"doc_id": batch["doc_id"], "row": batch["row"], "node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "bands": [bands(s) for s in sets], **fps}
 
-    return map_columns(text_bytes(docs).withColumn("row", F.xxhash64("text")), run, "doc_id long, row long, node long, n int, bands array<long>")
+    schema = "doc_id long, row long, node long, n int, bands array<long>" + (", fp long" if fingerprints else "")
+    return map_columns(text_bytes(docs).withColumn("row", F.xxhash64("text")), run, schema)
 
 
 def _sets(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -157,16 +163,27 @@ def links_of(docs: DataFrame, sketches: DataFrame, shingle: int, similarity: flo
     return written(found.union(more), "similar")
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def simhash_links(sketches: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes whose components are those of all texts whose SimHash fingerprints (column fp) are linked as in op6."""
+    lowest = written(sketches.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
+    same = sketches.select("fp", "node").distinct().join(lowest, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    of_a, of_b = (lowest.select(F.col("fp").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab")
+    apart = fingerprint_links(lowest.select("fp")).join(of_a, "a").join(of_b, "b").where("low_a <> low_b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+    return same.union(apart)
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, simhash: bool = False) -> DataFrame:
     """doc_id and component_id, the smallest doc_id of the documents that links of at least this similarity reach.
 
+    simhash: texts are also linked as in op6, by SimHash fingerprints of three-word shingles that differ in two bits or fewer.
     Texts without words, empty and null ones are copies of each other. Rows of
     one doc_id are each returned. A null doc_id takes part and never names a
     component unless it has only null ids (then null). Other columns are
     ignored. An empty table gives no rows.
     """
-    sketches = written(_sketches(docs, shingle), "sketches")
-    of = components(links_of(docs, sketches, shingle, similarity))
+    sketches = written(_sketches(docs, shingle, simhash), "sketches")
+    links = links_of(docs, sketches, shingle, similarity)
+    of = components(links.union(simhash_links(sketches)) if simhash else links)
     ids = written(sketches.groupBy("node").agg(F.min("doc_id").alias("low_id")).join(of, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     lowest = ids.groupBy("root").agg(F.min("low_id").alias("component_id"))
     return sketches.select("doc_id", "node").join(ids.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

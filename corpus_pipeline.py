@@ -32,11 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest doc_id stays; of its rows, if it has several, all.
+    """Of each group of near-duplicates, the document with the smallest doc_id stays; of its rows, if it has several, all.
+
+    Texts are linked as in op6, by SimHash fingerprints within two bits, and, as copies with a few edits are mostly further apart than that, by a similarity of 0.8 or more of their five-word shingles.
 
     Null, empty and wordless texts are copies of each other. Rows with a null doc_id stay, all of them, if one of them is in a group without any other doc_id, else none does. Long texts are compared whole. Other columns stay, whatever their names. An empty table gives no rows.
     """
-    groups = near_copies(docs)
+    groups = near_copies(docs, simhash=True)
     kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 

@@ -51,5 +51,28 @@ def test_the_pipeline_stage_drops_edited_copies(spark):
     assert {r["doc_id"] for r in c.near_dedup(spark, frame, "").collect()} == set(brute(rows).values())
 
 
+def test_the_pipeline_stage_links_by_simhash_as_op6_does(spark):
+    import corpus_pipeline as c
+    from basketry.llm.simhash import near_duplicates
+
+    rng = random.Random(9)
+    make = lambda size: [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    phrase, other = make(41), make(200)  # an odd number of shingles: no bit is even
+    texts = [" ".join(phrase * 60 + make(40)) for _ in range(3)]  # their sets of shingles differ, their fingerprints hardly
+    edited_copy = edited(rng, other, 3)
+    texts += [" ".join(other), " ".join(edited_copy), " ".join(make(200)), "", None]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    of_op6 = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame).collect()}
+    assert [of_op6[i] for i in range(3)] == [0, 0, 0] and brute(rows)[1] == 1
+    assert {r["doc_id"] for r in c.near_dedup(spark, frame, "").collect()} == {0, 3, 5, 6}
+    links = {r["doc_id"]: r["component_id"] for r in n.near_copies(frame, simhash=True).collect()}
+    assert links == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}
+
+
 def test_odd_tables(docs, no_docs):
     assert n.near_copies(docs).count() == docs.count() and n.near_copies(no_docs).count() == 0
+
+
+def test_odd_tables_with_simhash(docs, no_docs):
+    assert n.near_copies(docs, simhash=True).count() == docs.count() and n.near_copies(no_docs, simhash=True).count() == 0
