@@ -9,6 +9,7 @@ from ..operators import analyses, candidates, integrity, outliers, profile, spin
 from ..schema import Tables
 from .catalog import register
 from .queries_analyses import O, odd
+from .queries_models import stored
 from .queries_spine import SPINE
 
 OWN_BRAND = "Brand#13"
@@ -67,12 +68,12 @@ _ORDER = ["household_key", "day", "week_no", "store_id", "quantity", "sales_cent
 
 def merged(t: Tables, limit: int = 40):
     copy = F.row_number().over(Window.partitionBy("basket_id", "product_id").orderBy(*_ORDER))
-    lines = odd(t).withColumn("copy", copy.cast("long"))
+    lines = stored(odd(t).withColumn("copy", copy.cast("long")), "lines")
     values = outliers.fields(lines)
     levels = outliers.level_table(values, outliers.fences(values), _LINE)
     # lines without an eligible field have level 0 everywhere
-    every = lines.select(*_LINE).join(levels, _LINE, "left").fillna(0)
-    return outliers.merge_stats(outliers.merge_levels(outliers.line_flags(lines), every, _LINE, limit), limit)
+    every = stored(lines.select(*_LINE).join(levels, _LINE, "left").fillna(0), "levels")
+    return outliers.merge_stats(outliers.merge_levels(outliers.line_flags(lines, stored), every, _LINE, limit), limit)
 
 
 _FENCED = {"quantity": "quantity > 0, quantity::DOUBLE", "sales": "sales_cents > 0, sales_cents::DOUBLE", "unit_price": "quantity > 0 AND sales_cents > 0, sales_cents::DOUBLE / quantity", "retail_disc": "retail_disc_cents < 0, -retail_disc_cents::DOUBLE", "coupon_disc": "coupon_disc_cents < 0, -coupon_disc_cents::DOUBLE"}
